@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,8 +19,28 @@ WORD = r"[^\x20\x09-\x0D]+"
 _made: list[tuple[SparkSession, str]] = []
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python unless they find it already."""
+    root = Path(__file__).resolve().parents[2]
+    places = {Path(p or ".").resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep)}
+    if spark.sparkContext.master.startswith("local["):
+        places.add(Path.cwd())
+    context = spark.sparkContext.applicationId
+    if root in places or getattr(ship, "done", None) == context:
+        return
+    d = tempfile.mkdtemp(prefix="keyloom-")
+    atexit.register(shutil.rmtree, d, True)  # Spark serves the file from there
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{d}/keyloom", "zip", root, "keyloom"))
+    ship.done = context
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")
 
 
 def shared_dir(spark: SparkSession) -> str:

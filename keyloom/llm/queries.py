@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm import mixing, packing
+from keyloom.llm import mixing, packing, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mixing": mixing.op3_source_mixing,
     "op6_token_binary": packing.op6_token_binary,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
+    "op8_embedding_near_dedup": vectors.op8_embedding_near_dedup,
+    "op9_exact_top_k": vectors.op9_exact_top_k,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_source_mixing": mixing.SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op3_source_mixing": mixing.SQL,
+    "op8_embedding_near_dedup": vectors.NEAR_SQL,
+    "op9_exact_top_k": vectors.TOP_K_SQL,
+}
