@@ -99,13 +99,14 @@ def buckets_for(rows: int) -> int:
     return int(min(1 << 20, max(256, rows // 20_000)))
 
 
-def salted_rank(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], to: str) -> DataFrame:
+def salted_rank(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], to: str, counted: DataFrame | None = None) -> DataFrame:
     """Add ``to``: the rank from 1 within ``keys``, in order of ``bucket``, then ``order``.
 
     No window holds more than a bucket's rows or a group's bucket counts, so a
     group with a third of all rows is split.  Keys must not be null.
+    ``counted`` may have the same rows in a form that is cheaper to read.
     """
-    cells = df.groupBy(*keys, bucket).agg(F.count("*").alias("_n"))
+    cells = (df if counted is None else counted).groupBy(*keys, bucket).agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select(*keys, bucket, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     within = Window.partitionBy(*keys, bucket).orderBy(*order)

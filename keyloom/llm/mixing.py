@@ -74,7 +74,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     by_source = targets(skinny.df.groupBy("src").agg(F.sum("size").alias("source_size")), weights, share, most)
     # One row for each size of each source.
     level = hist.join(by_source, "src").select("src", "size", "smaller", "source_size", "target")
-    ranked = salted_rank(sized.withColumn("bucket", bucket), ["src", "size"], "bucket", ["id"], "rank")
+    ranked = salted_rank(sized.withColumn("bucket", bucket), ["src", "size"], "bucket", ["id"], "rank", skinny.df.withColumn("bucket", bucket))
     r = F.when(F.col("source_size") > 0, F.least(F.lit(most), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
     at = (F.col("smaller") + F.col("rank")).cast("double")
     crossed = lambda x: F.floor(x * r + _offset(F.col("src"), seed))

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm import mixing, packing, vectors
+from keyloom.llm import mixing, packing, simhash, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
     "op3_source_mixing": mixing.op3_source_mixing,
     "op6_token_binary": packing.op6_token_binary,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
