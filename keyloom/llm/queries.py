@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm import mixing, packing, simhash, vectors
+from keyloom.llm import mixing, packing, simhash, spans, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_embedding_near_dedup": vectors.op8_embedding_near_dedup,
     "op9_exact_top_k": vectors.op9_exact_top_k,
+    "op10_substring_dedup": spans.op10_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
