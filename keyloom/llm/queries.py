@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm import mixing, packing, simhash, spans, vectors
+from keyloom.llm import mixing, packing, pii, simhash, spans, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
     "op3_source_mixing": mixing.op3_source_mixing,
+    "op4_personal_data": pii.op4_personal_data,
     "op6_token_binary": packing.op6_token_binary,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_embedding_near_dedup": vectors.op8_embedding_near_dedup,
