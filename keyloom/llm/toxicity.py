@@ -19,8 +19,8 @@ LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "*": "aeiou", "€": "e", "£": "l", "¢": "c", "¡": "i",
 }
-#: What the channel pays for a sign in a letter's place, for a sign put between letters, and for a letter said again.
-SWAP, DROP, MARK, AGAIN, TWICE = 1.2, 4.5, 0.3, 0.4, 6.0
+#: What the channel pays for a sign in a letter's place, for such a sign put between letters, for any other mark there, and for a letter said again.
+SWAP, DROP, MARK, AGAIN, TWICE = 1.2, 8.0, 0.3, 0.4, 6.0
 _PUNCT = string.punctuation + "…“”«»¿¡’‘–—"
 _TRIPLE = re.compile(r"(.)\1\1", re.DOTALL)
 _SPACED = re.compile(r"(?<!\S)\S(?:[^\S\n]\S){3,}(?!\S)")
@@ -85,7 +85,7 @@ def restore(token: str, cost: np.ndarray) -> str:
         for last, (so_far, text) in best.items():
             moves = [(so_far + paid + float(cost[letter_class(last[-2:-1] or " "), letter_class(last[-1:] or " "), letter_class(x)]), x) for x, paid in options]
             if not c.isalpha():
-                moves.append((so_far + (DROP if c in LEET else MARK), ""))
+                moves.append((so_far + (DROP if c in LEET and c != "*" else MARK), ""))
             elif last[-1:] == c:
                 moves.append((so_far + (AGAIN if same > 2 else TWICE), ""))
             for paid, x in moves:
