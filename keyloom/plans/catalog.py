@@ -317,11 +317,20 @@ def index_targets_onward(t: Tables) -> DataFrame:
 
 
 # Joins.
-def _sides(df: DataFrame, left: dict[str, Column], right: dict[str, Column]) -> DataFrame:
-    return df.select(*[c.alias(n) for n, c in (left | right).items()])
+class _Side:
+    """A side of a joined query; columns can only be made once Spark runs."""
 
+    def __init__(self, name: str) -> None:
+        self.name = name
 
-L, R = F.col("left"), F.col("right")
+    def __getitem__(self, field: str) -> Column:
+        return F.col(self.name)[field]
+
+    def alias(self, name: str) -> Column:
+        return F.col(self.name).alias(name)
+
+
+L, R = _Side("left"), _Side("right")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = 10")
