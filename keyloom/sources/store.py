@@ -345,7 +345,7 @@ class WriteTxn(ReadTxn):
         size = F.lit(0)
         for c in texts:
             size = size + F.coalesce(F.octet_length(c), F.lit(0))
-        seen = keys.select(bad.alias("null"), (size > self.store.config.max_key_bytes).alias("long")).where("null OR long").limit(1).collect()
+        seen = keys.select(bad.alias("missing"), (size > self.store.config.max_key_bytes).alias("long")).where("missing OR long").limit(1).collect()
         if seen:
             if seen[0]["long"]:
                 raise E.OverSizedKey(f"over {self.store.config.max_key_bytes} bytes")
