@@ -105,10 +105,12 @@ def keep_one(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col:
     Rows without an id are told apart by their text only.
     """
     names = docs.columns
-    found = near_duplicates(docs, words, id_col, text_col).where(F.col("id") == F.col("component_id")).select(F.col("id").alias("_kept")).distinct()
-    kept = docs.join(found, F.col(f"`{id_col}`").cast("long") == F.col("_kept"), "left_semi").dropDuplicates([id_col])
-    rest = docs.where(F.col(f"`{id_col}`").isNull()).dropDuplicates([text_col])
-    return kept.select(*[F.col(f"`{c}`") for c in names]).unionByName(rest)
+    # Under plain names no column of the input can clash with those in between.
+    docs = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    at_id, at_text = (f"c{names.index(c)}" for c in (id_col, text_col))
+    found = near_duplicates(docs, words, at_id, at_text).where(F.col("id") == F.col("component_id")).select("id").distinct()
+    kept = docs.join(found, F.col(at_id).cast("long") == F.col("id"), "left_semi").dropDuplicates([at_id])
+    return kept.unionByName(docs.where(F.col(at_id).isNull()).dropDuplicates([at_text])).toDF(*names)
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keyloom.llm.common import documents
 from keyloom.llm.tokens import blocks
@@ -108,9 +109,13 @@ def drop_repeated_spans(docs: DataFrame, least: int = 2, words: int = 16, alone:
     """
     names = docs.columns
     text_at = names.index(text_col)
-    spans = repeated_spans(docs, least, words, alone, id_col, text_col)
-    covered = spans.groupBy("id").agg(F.collect_list(F.struct("at", "n")).alias("_spans"))
-    joined = docs.withColumn("_id", _id(id_col)).join(covered.withColumnRenamed("id", "_id"), "_id", "left")
+    fields = [*docs.schema.fields, T.StructField("_n_sentences", T.LongType()), T.StructField("_n_removed", T.LongType())]
+    # Under plain names no column of the input can clash with those in between.
+    docs = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    at_id = f"c{names.index(id_col)}"
+    spans = repeated_spans(docs, least, words, alone, at_id, f"c{text_at}")
+    covered = spans.groupBy("id").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+    joined = docs.withColumn("id", _id(at_id)).join(covered, "id", "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -134,10 +139,7 @@ def drop_repeated_spans(docs: DataFrame, least: int = 2, words: int = 16, alone:
                 columns[text_at] = pa.array(texts, pa.binary()).cast(pa.string())
                 yield pa.record_batch([*columns, pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=[f"c{i}" for i in range(len(names) + 2)])
 
-    from pyspark.sql import types as T
-
-    fields = [*docs.schema.fields, T.StructField("_n_sentences", T.LongType()), T.StructField("_n_removed", T.LongType())]
-    flat = joined.select(*[F.col(f"`{c}`") for c in names], "_spans")
+    flat = joined.select(*docs.columns, "spans")
     return flat.mapInArrow(cut, T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(fields)])).toDF(*[f.name for f in fields])
 
 
