@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from keyloom.llm.common import Scratch, documents
 
 EDITS, SHORTEST = 2, 24
-#: Letters whose counts tell most lines apart before their texts are fetched.
-COUNTED = "etaoinsr"
+#: Letters whose counts, modulo 16, tell most lines apart before their texts are fetched.
+COUNTED = "taoisrhldcum"
+#: Lines that are more than one in so many, and more than a hundred, are hot; there are at most so many of them.
+HOT = 10_000
 _BLANK = " \t\r\x0b\x0c"
 #: Lines whose ids are sent to every task to fetch their texts; above it the texts are shuffled instead.
 FETCH = 500_000
@@ -78,36 +80,39 @@ def edit_distance(a: Column, b: Column, edits: int) -> Column:
     return F.when(F.abs(d) > edits, F.lit(edits + 1)).when(F.size(b) == 0, F.size(a)).otherwise(run)
 
 
-def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
-    """Where segment ``i`` (from 1) of a line of ``length`` begins (from 1), and its length: the last ones are longer by one."""
-    short = F.floor(length / parts).cast("int")
-    longer = length - short * parts
-    first_long = F.lit(parts) - longer
-    return (F.lit(i - 1) * short + F.greatest(F.lit(0), F.lit(i - 1) - first_long) + 1).cast("int"), (short + F.when(F.lit(i) > first_long, 1).otherwise(0)).cast("int")
+def index_places(edits: int) -> list[tuple[int, int, int]]:
+    """(gap, segment, move) of the ``edits + 1`` segments under which a line is indexed."""
+    return [(0, i, 0) for i in range(1, edits + 2)]
 
 
-def _key(line: Column, length: Column, i: int, at: Column, n: Column) -> Column:
-    return F.xxhash64(F.lit(i), length.cast("int"), F.substring(line, at, n))
-
-
-def index_keys(line: Column, length: Column, edits: int) -> Column:
-    """Keys of the ``edits + 1`` segments of a line, with their number and the line's length."""
-    return F.array(*[_key(line, length, i, *_segment(length, i, edits + 1)) for i in range(1, edits + 2)])
-
-
-def probe_keys(line: Column, length: Column, edits: int, gap: int) -> Column:
-    """Keys of the substrings under which lines shorter by ``gap`` may be indexed.
+def probe_places(edits: int) -> list[tuple[int, int, int]]:
+    """(gap, segment, move) of the substrings under which a line may find a line shorter by ``gap``.
 
     If two lines are at most ``edits`` apart, some segment i of the shorter one
     occurs in the longer one with at most i - 1 edits before it and the rest
     behind it, so that it is moved by few places only.
     """
-    keys = []
-    for i in range(1, edits + 2):
-        at, n = _segment(length - gap, i, edits + 1)
-        moves = range(max(-(i - 1), gap - (edits + 1 - i)), min(i - 1, gap + edits + 1 - i) + 1)
-        keys += [_key(line, length - gap, i, at + move, n) for move in moves]
-    return F.array(*keys)
+    found = []
+    for gap in range(edits + 1):
+        for i in range(1, edits + 2):
+            found += [(gap, i, move) for move in range(max(-(i - 1), gap - (edits + 1 - i)), min(i - 1, gap + edits + 1 - i) + 1)]
+    return found
+
+
+def keyed(long: DataFrame, places: list[tuple[int, int, int, int]], parts: int) -> DataFrame:
+    """(h1, counts, key, kind): a row for each place (kind, gap, segment, move) of each line.
+
+    The places are the rows' own columns, so one short expression serves all
+    of them.  Of ``parts`` segments of a length the last ones are longer by
+    one; keys hold the segment's number and the length it was cut for.
+    """
+    each = F.inline(F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(gap).alias("gap"), F.lit(i).alias("i"), F.lit(move).alias("move")) for kind, gap, i, move in places]))
+    x = long.select("h1", "counts", "line", "length", each).withColumn("l", F.col("length") - F.col("gap"))
+    x = x.withColumn("short", F.expr(f"cast(l div {parts} as int)"))
+    early = F.col("i") - 1 - (parts - (F.col("l") - F.col("short") * parts))  # how many of the longer segments come before
+    at = (F.col("i") - 1) * F.col("short") + F.greatest(F.lit(0), early) + 1 + F.col("move")
+    n = F.col("short") + F.when(early >= 0, 1).otherwise(0)
+    return x.select("h1", "counts", F.xxhash64("i", "l", F.substring(F.col("line"), at, n)).alias("key"), "kind")
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -118,52 +123,70 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return lines.select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
-def candidate_lines(rows: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
-    """Pairs (a, b) of line hashes h1 that share a segment and may be ``edits`` apart by their letters' counts."""
-    length = F.char_length("line")
+def single_lines(rows: DataFrame, first: DataFrame) -> DataFrame:
+    """(h1, line): every line, those that repeat often once only.
+
+    ``first`` has the number n of each line's rows.  Lines that are more than
+    one in ten thousand number ten thousand at most, so their hashes fit every
+    task; they are summed up before any shuffle, and no line is left with more
+    than a hundred rows or one in ten thousand.
+    """
+    total = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.broadcast(first.where(F.col("n") > max(100, total // HOT)).select("h1", "h2"))
+    cold = rows.join(hot, ["h1", "h2"], "left_anti").select("h1", "line")
+    return cold.unionByName(rows.join(hot, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line")).select("h1", "line"))
+
+
+def candidate_lines(lines: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
+    """Pairs (a, b) of line hashes h1 that share a segment and may be ``edits`` apart by their letters' counts.
+
+    Index and probes are made in one pass and dealt out by key once; repeated
+    rows fall together behind that, and the join reads the one shuffle twice.
+    """
+    size = F.octet_length("line")
     counts = F.lit(0).cast("long")
     for k, c in enumerate(COUNTED):
-        counts = counts + F.shiftleft(F.least(F.lit(255), length - F.char_length(F.replace("line", F.lit(c)))).cast("long"), 8 * k)
-    long = rows.select("h1", "line", length.cast("int").alias("length"), counts.alias("counts")).where(F.col("length") >= shortest)
-    line, n = F.col("line"), F.col("length")
-    index = long.select("h1", "counts", F.explode(index_keys(line, n, edits)).alias("key")).distinct()
-    probes = F.concat(*[_tag(probe_keys(line, n, edits, gap), gap) for gap in range(edits + 1)])
-    probe = long.select("h1", "counts", F.explode(probes).alias("p")).select("h1", "counts", F.col("p.key").alias("key"), F.col("p.same").alias("same")).distinct()
-    a, b = index.alias("a"), probe.alias("b")
+        counts = counts + F.shiftleft((size - F.octet_length(F.replace("line", F.lit(c)))).bitwiseAND(F.lit(15)).cast("long"), 4 * k)
+    long = lines.select("h1", "line", F.char_length("line").cast("int").alias("length")).where(F.col("length") >= shortest).select("*", counts.alias("counts"))
+    # Above the counts: 0 in the index, 1 for probes of lines of the same length, 2 for other probes.
+    top = 4 * len(COUNTED)
+    rows = keyed(long, [(0, *x) for x in index_places(edits)] + [(2 if x[0] else 1, *x) for x in probe_places(edits)], edits + 1)
+    rows = rows.select("h1", F.col("counts").bitwiseOR(F.shiftleft(F.col("kind").cast("long"), top)).alias("counts"), "key").repartition("key").distinct()
+    a, b = rows.alias("a"), rows.select("h1", "counts", "key").alias("b")
     apart = F.lit(0)
     for k in range(len(COUNTED)):
-        at = lambda side: F.shiftrightunsigned(F.col(f"{side}.counts"), 8 * k).bitwiseAND(F.lit(255))  # noqa: B023, E731
-        apart = apart + F.abs(at("a") - at("b"))
+        off = (F.shiftright("a.counts", 4 * k) - F.shiftright("b.counts", 4 * k)).bitwiseAND(F.lit(15).cast("long"))
+        apart = apart + F.least(off, 16 - off)
+    # Index on the left, probe on the right; said of both at once, so that neither side is dealt out on its own.
+    kinds = F.shiftright("a.counts", top) * 4 + F.shiftright("b.counts", top)
     # Lines of one length probe each other: one direction will do.
-    order = F.when(F.col("b.same"), F.col("a.h1") < F.col("b.h1")).otherwise(F.col("a.h1") != F.col("b.h1"))
+    order = ((kinds == 1) & (F.col("a.h1") < F.col("b.h1"))) | ((kinds == 2) & (F.col("a.h1") != F.col("b.h1")))
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & order & (apart <= 2 * edits))
     return pairs.select(F.col("a.h1").alias("a"), F.col("b.h1").alias("b")).distinct()
 
 
-def _tag(keys: Column, gap: int) -> Column:
-    return F.transform(keys, lambda k: F.struct(k.alias("key"), F.lit(gap == 0).alias("same")))
-
-
-def near_lines(rows: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
+def near_lines(rows: DataFrame, first: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
     """Pairs (a1, a2, b1, b2) of the hashes of unlike lines that are at most ``edits`` apart."""
-    pairs = Scratch(candidate_lines(rows, edits, shortest))
+    pairs = Scratch(candidate_lines(single_lines(rows, first), edits, shortest))
     wanted = Scratch(pairs.df.select(F.explode(F.array("a", "b")).alias("h1")).distinct())
     ids = wanted.df
     if ids.count() <= FETCH:
         ids = F.broadcast(ids)
     texts = rows.join(ids, "h1", "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line"))
-    texts = Scratch(texts.select("h1", "h2", F.split("line", "").alias("s"))).df
-    side = lambda x: texts.select(*[F.col(c).alias(f"{x}{c[-1]}") for c in ("h1", "h2", "s")])
+    texts = Scratch(texts).df
+    side = lambda x: texts.select(F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"), F.col("line").alias(f"{x}s"))
     both = pairs.df.withColumnRenamed("a", "a1").withColumnRenamed("b", "b1").join(side("a"), "a1").join(side("b"), "b1")
     # The probing line, b, is the longer one.
-    return both.where(edit_distance(F.col("bs"), F.col("as"), edits) <= edits).select("a1", "a2", "b1", "b2")
+    # The lines' characters are split off once for each pair, not once for each step.
+    apart = let(F.struct(F.split("bs", "").alias("b"), F.split("as", "").alias("a")), lambda s: edit_distance(s["b"], s["a"], edits))
+    return both.where(apart <= edits).select("a1", "a2", "b1", "b2")
 
 
 def kept_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, kept): the places of each document's lines that no earlier line equals or nearly equals."""
     rows = _rows(docs, id_col, text_col)
-    first = Scratch(rows.groupBy("h1", "h2").agg(F.min(F.struct("id", "pos")).alias("first"))).df
-    pairs = Scratch(near_lines(rows, edits, shortest)).df
+    first = Scratch(rows.groupBy("h1", "h2").agg(F.min(F.struct("id", "pos")).alias("first"), F.count("*").alias("n"))).df
+    pairs = Scratch(near_lines(rows, first, edits, shortest)).df
     pairs = pairs.select(F.explode(F.array(F.struct("a1", "a2", "b1", "b2"), F.struct(F.col("b1").alias("a1"), F.col("b2").alias("a2"), F.col("a1").alias("b1"), F.col("a2").alias("b2")))).alias("p")).select("p.*")
     one = first.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("first").alias("first_a"))
     two = first.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("first").alias("first_b"))
@@ -189,17 +212,20 @@ def drop_repeated_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHO
     splits, and the letters' counts are compared within the join.
     """
     names = docs.columns
-    kept = kept_lines(docs, edits, shortest, id_col, text_col).withColumnRenamed("id", "_id").withColumnRenamed("kept", "_kept")
-    ident = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63)))
-    d = docs.withColumn("_id", ident).join(kept, "_id", "left").withColumn("_lines", F.split(F.col(f"`{text_col}`"), "\n"))
-    places = F.sequence(F.lit(0), F.size("_lines") - 1)
-    blank = F.filter(places, lambda i: F.btrim(F.get(F.col("_lines"), i), F.lit(_BLANK)) == "")
-    stay = F.filter(F.coalesce("_kept", F.array().cast("array<int>")), lambda i: i < F.size("_lines"))
-    d = d.withColumn("_blank", blank).withColumn("_stay", stay)
-    text = F.array_join(F.transform(F.array_sort(F.concat("_stay", "_blank")), lambda i: F.get(F.col("_lines"), i)), "\n")
-    n = F.when(F.col("_lines").isNull(), 0).otherwise(F.size("_lines") - F.size("_blank")).cast("long")
-    columns = [F.when(F.col("_lines").isNotNull(), text).alias(c) if c == text_col else F.col(f"`{c}`") for c in names]
-    return d.select(*columns, n.alias("_n_lines"), F.when(F.col("_lines").isNull(), 0).otherwise(n - F.size("_stay")).cast("long").alias("_n_removed"))
+    # Under plain names no column of the input can clash with those in between.
+    docs = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    at_id, at_text = (f"c{names.index(c)}" for c in (id_col, text_col))
+    kept = kept_lines(docs, edits, shortest, at_id, at_text)
+    d = docs.withColumn("id", F.coalesce(F.col(at_id).cast("long"), F.lit(-(1 << 63)))).join(kept, "id", "left").withColumn("lines", F.split(at_text, "\n"))
+    places = F.sequence(F.lit(0), F.size("lines") - 1)
+    blank = F.filter(places, lambda i: F.btrim(F.get(F.col("lines"), i), F.lit(_BLANK)) == "")
+    stay = F.filter(F.coalesce("kept", F.array().cast("array<int>")), lambda i: i < F.size("lines"))
+    d = d.withColumn("blank", blank).withColumn("stay", stay)
+    text = F.array_join(F.transform(F.array_sort(F.concat("stay", "blank")), lambda i: F.get(F.col("lines"), i)), "\n")
+    none = F.col("lines").isNull()
+    n = F.when(none, 0).otherwise(F.size("lines") - F.size("blank")).cast("long")
+    columns = [F.when(~none, text).alias(c) if c == at_text else F.col(c) for c in docs.columns]
+    return d.select(*columns, n.alias("n"), F.when(none, 0).otherwise(n - F.size("stay")).cast("long").alias("gone")).toDF(*names, "_n_lines", "_n_removed")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
