@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -492,8 +493,12 @@ def clear_indexed(t: Tables) -> DataFrame:
 
 # Stores and transactions.
 def _store(t: Tables) -> Store:
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="keyloom-")
-    return Store.open(t.spark, base, f"store-{next(tempfile._get_candidate_names())}")  # noqa: SLF001
+    base = t.spark.conf.get("spark.checkpoint.dir", None)
+    if not base:  # only a session on one machine may use that machine's disk
+        if not t.spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="keyloom-")
+    return Store.open(t.spark, base, f"store-{uuid.uuid4().hex}")
 
 
 def _nations(t: Tables, store: Store):  # noqa: ANN202
