@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 
 _PUNCT = string.punctuation.replace("'", "")
 #: Bytes of text that are encoded at once, and of a word that is kept at most.
-BLOCK, WORD_BYTES = 6 << 20, 64
+BLOCK, WORD_BYTES = 2 << 20, 64
 #: What each worker process has loaded, by path.
 _loaded: dict[str, Encoder] = {}
 
@@ -53,7 +53,7 @@ class Encoder:
     young one is full it becomes the old one, and words still used move back.
     """
 
-    def __init__(self, path: str, cache: int = 350_000) -> None:
+    def __init__(self, path: str, cache: int = 150_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
         from tokenizers import Tokenizer

@@ -117,7 +117,7 @@ def restored_words(text: str, cost: np.ndarray, known: dict[str, str]) -> set[st
         r = known.get(w)
         if r is None:
             r = decode(w, cost)
-            if len(known) > 200_000:
+            if len(known) > 100_000:
                 known.clear()
             known[w] = r
         if r:
@@ -153,7 +153,7 @@ def _words(docs: DataFrame, cost: np.ndarray, chosen: dict[str, int] | None, nam
                     for w in words:
                         got = hits.get(w)
                         if got is None:
-                            if len(hits) > 400_000:
+                            if len(hits) > 100_000:
                                 hits.clear()
                             got = hits[w] = tuple(chosen[t] for t in traits(w) if t in chosen)
                         if got:
