@@ -94,6 +94,22 @@ def _clean() -> None:
             return
 
 
+def numbered(docs: DataFrame, id_col: str, to: str, nulls_last: bool = False) -> DataFrame:
+    """Add ``to``: a number of each row's own, in order of its id, then of an own row number.
+
+    Ids that are neither null nor repeated are such numbers.  Otherwise rows
+    are sorted, numbered and written to the shared folder, so that every later
+    reading finds the same numbers; rows without an id come first or last.
+    """
+    ident = F.col(f"`{id_col}`").cast("long")
+    if not docs.groupBy(ident.alias("i")).agg(F.count("*").alias("n")).where("n > 1 OR i IS NULL").limit(1).count():
+        return docs.withColumn(to, ident)
+    order = ident.asc_nulls_last() if nulls_last else ident.asc_nulls_first()
+    # The row's number is part of the order, so that ranges also split a hot id.
+    rows = docs.withColumn(to, F.monotonically_increasing_id()).orderBy(order, to)
+    return Scratch(rows.withColumn(to, F.monotonically_increasing_id())).df
+
+
 def buckets_for(rows: int) -> int:
     """Buckets that keep a group of all rows at some ten thousand rows each."""
     return int(min(1 << 20, max(256, rows // 20_000)))
