@@ -30,13 +30,16 @@ def sentences(text: str) -> list[int]:
     return starts
 
 
-def runs(text: str, least: int = 2, words: int = 16, alone: int = 24) -> tuple[int, list[tuple[int, int, bytes]]]:
+def runs(text: str, least: int = 2, words: int = 16, alone: int = 24, tails: bool = False) -> tuple[int, list[tuple[int, int, bytes]]]:
     """The number of sentences, and (first sentence, sentences, 128-bit hash) of every run.
 
     A run starts at each sentence and takes the fewest sentences that are
     ``least`` or more and hold ``words`` words or more; a sentence of ``alone``
-    words is as long as several, and a run by itself.  Letter case and white
-    space do not matter.
+    words is as long as several, and a run by itself.  With ``tails`` the
+    fewest sentences that end at each sentence are a run too, so that runs
+    within a passage of several sentences cover it to its last one; a long
+    sentence at its end is in the run of any sentence before it.  Letter case
+    and white space do not matter.
     """
     from xxhash import xxh3_128_digest
 
@@ -46,6 +49,8 @@ def runs(text: str, least: int = 2, words: int = 16, alone: int = 24) -> tuple[i
     size = [len(p) for p in parts]
     joined = [" ".join(p) for p in parts]
     found = []
+    hashed = lambda i, j: (i, j - i, xxh3_128_digest(" ".join(joined[i:j]).encode("utf-8", "surrogatepass")))
+    ends = {}
     for i in range(n):
         if not size[i]:
             continue
@@ -59,17 +64,30 @@ def runs(text: str, least: int = 2, words: int = 16, alone: int = 24) -> tuple[i
                 j += 1
             if full < least or held < words:
                 break
-        found.append((i, j - i, xxh3_128_digest(" ".join(joined[i:j]).encode("utf-8", "surrogatepass"))))
+        found.append(hashed(i, j))
+        ends[i] = j
+    for j in range(n, 0, -1) if tails else ():
+        if not 0 < size[j - 1] < alone:
+            continue
+        i, held, full = j, 0, 0
+        while i and (full < least or held < words):
+            i -= 1
+            held += size[i]
+            full += size[i] > 0
+        if full < least or held < words:
+            break
+        if ends.get(i) != j:
+            found.append(hashed(i, j))
     return n, found
 
 
-def span_hashes(docs: DataFrame, least: int, words: int, alone: int, id_col: str, text_col: str) -> DataFrame:
+def span_hashes(docs: DataFrame, least: int, words: int, alone: int, id_col: str, text_col: str, tails: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in blocks(whole, 1, 2 << 20):
                 ids, at, n, h = [], [], [], []
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    for i, k, digest in runs((text or b"").decode("utf-8", "replace"), least, words, alone)[1]:
+                    for i, k, digest in runs((text or b"").decode("utf-8", "replace"), least, words, alone, tails)[1]:
                         ids.append(doc)
                         at.append(i)
                         n.append(k)
@@ -84,21 +102,21 @@ def _id(id_col: str):  # noqa: ANN202
     return F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63))).alias("id")
 
 
-def repeated_spans(docs: DataFrame, least: int = 2, words: int = 16, alone: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, least: int = 2, words: int = 16, alone: int = 24, id_col: str = "doc_id", text_col: str = "text", tails: bool = False) -> DataFrame:
     """(id, at, n): runs of sentences that occur before, in order of id and place.
 
     First occurrences are minima of a group, which Spark sums up before it
     shuffles, so a span that a third of all documents share is one row for each
     task; only spans that repeat meet their occurrences again.
     """
-    spans = span_hashes(docs, least, words, alone, id_col, text_col)
+    spans = span_hashes(docs, least, words, alone, id_col, text_col, tails)
     first = spans.groupBy("h1", "h2").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("k")).where("k > 1").select("h1", "h2", "first")
     later = spans.join(first, ["h1", "h2"]).where((F.col("id") != F.col("first.id")) | (F.col("at") != F.col("first.at")))
     return later.select("id", "at", "n")
 
 
-def drop_repeated_spans(docs: DataFrame, least: int = 2, words: int = 16, alone: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Remove every sentence that a non-first repeated span covers.
+def drop_repeated_spans(docs: DataFrame, least: int = 2, words: int = 16, alone: int = 24, id_col: str = "doc_id", text_col: str = "text", tails: bool = False) -> DataFrame:
+    """Remove every sentence that a non-first repeated span covers; with ``tails`` also at a passage's end.
 
     Returns the input's columns with the text cut down, _n_sentences and
     _n_removed.  Spans are compared over all documents, and within one; the
@@ -113,7 +131,7 @@ def drop_repeated_spans(docs: DataFrame, least: int = 2, words: int = 16, alone:
     # Under plain names no column of the input can clash with those in between.
     docs = docs.toDF(*[f"c{i}" for i in range(len(names))])
     at_id = f"c{names.index(id_col)}"
-    spans = repeated_spans(docs, least, words, alone, at_id, f"c{text_at}")
+    spans = repeated_spans(docs, least, words, alone, at_id, f"c{text_at}", tails)
     covered = spans.groupBy("id").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
     joined = docs.withColumn("id", _id(at_id)).join(covered, "id", "left")
 
@@ -144,5 +162,5 @@ def drop_repeated_spans(docs: DataFrame, least: int = 2, words: int = 16, alone:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = drop_repeated_spans(documents(spark, sf_dir).select("doc_id", "text"))
+    cut = drop_repeated_spans(documents(spark, sf_dir).select("doc_id", "text"), tails=True)
     return cut.select("doc_id", F.col("_n_sentences").alias("n_sentences"), F.col("_n_removed").alias("n_removed"), F.sha2("text", 256).alias("text_sha256"), "text")
