@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import Scratch, documents
+from keyloom.llm.common import Scratch, documents, numbered
 
 EDITS, SHORTEST = 2, 24
 #: Letters whose counts, modulo 16, tell most lines apart before their texts are fetched.
@@ -117,8 +117,7 @@ def keyed(long: DataFrame, places: list[tuple[int, int, int, int]], parts: int)
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, pos, line, h1, h2): every line that is not blank, without the white space around it."""
-    ident = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63))).alias("id")
-    lines = docs.select(ident, F.posexplode(F.split(F.col(f"`{text_col}`"), "\n")).alias("pos", "line"))
+    lines = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.posexplode(F.split(F.col(f"`{text_col}`"), "\n")).alias("pos", "line"))
     lines = lines.select("id", "pos", F.btrim("line", F.lit(_BLANK)).alias("line")).where("line <> ''")
     return lines.select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
@@ -203,9 +202,9 @@ def drop_repeated_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHO
     insertions, deletions or substitutions away, whether that line stays or
     not; shorter ones only if they are equal.  Returns the input's columns with
     the text cut down, _n_lines (not blank) and _n_removed.  A null text stays
-    null; a document may end up empty.  Rows that share an id, or lack one,
-    count as one document and are cut down alike.  An empty table gives no
-    rows.
+    null; a document may end up empty.  Rows that share an id, or lack one, are
+    documents of their own, in order of an own row number; those without an id
+    come first.  An empty table gives no rows.
 
     Equal lines are one row per task before any shuffle.  A segment that many
     unlike lines share is a hot key of a plain equality join, which Spark
@@ -215,8 +214,9 @@ def drop_repeated_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHO
     # Under plain names no column of the input can clash with those in between.
     docs = docs.toDF(*[f"c{i}" for i in range(len(names))])
     at_id, at_text = (f"c{names.index(c)}" for c in (id_col, text_col))
-    kept = kept_lines(docs, edits, shortest, at_id, at_text)
-    d = docs.withColumn("id", F.coalesce(F.col(at_id).cast("long"), F.lit(-(1 << 63)))).join(kept, "id", "left").withColumn("lines", F.split(at_text, "\n"))
+    plain, docs = docs, numbered(docs, at_id, "id")
+    kept = kept_lines(docs, edits, shortest, "id", at_text)
+    d = docs.join(kept, "id", "left").withColumn("lines", F.split(at_text, "\n"))
     places = F.sequence(F.lit(0), F.size("lines") - 1)
     blank = F.filter(places, lambda i: F.btrim(F.get(F.col("lines"), i), F.lit(_BLANK)) == "")
     stay = F.filter(F.coalesce("kept", F.array().cast("array<int>")), lambda i: i < F.size("lines"))
@@ -224,7 +224,7 @@ def drop_repeated_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHO
     text = F.array_join(F.transform(F.array_sort(F.concat("stay", "blank")), lambda i: F.get(F.col("lines"), i)), "\n")
     none = F.col("lines").isNull()
     n = F.when(none, 0).otherwise(F.size("lines") - F.size("blank")).cast("long")
-    columns = [F.when(~none, text).alias(c) if c == at_text else F.col(c) for c in docs.columns]
+    columns = [F.when(~none, text).alias(c) if c == at_text else F.col(c) for c in plain.columns]
     return d.select(*columns, n.alias("n"), F.when(none, 0).otherwise(n - F.size("stay")).cast("long").alias("gone")).toDF(*names, "_n_lines", "_n_removed")
 
 

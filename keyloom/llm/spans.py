@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyloom.llm.common import documents
+from keyloom.llm.common import documents, numbered
 from keyloom.llm.tokens import blocks
 
 _END = re.compile(r"[.!?]\s+|\n\s*")
@@ -95,11 +95,7 @@ def span_hashes(docs: DataFrame, least: int, words: int, alone: int, id_col: str
                 both = np.frombuffer(b"".join(h), "<i8").reshape(-1, 2)
                 yield pa.record_batch([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(n, pa.int32())], names=["h1", "h2", "id", "at", "n"])
 
-    return docs.select(_id(id_col), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "h1 long, h2 long, id long, at int, n int")
-
-
-def _id(id_col: str):  # noqa: ANN202
-    return F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63))).alias("id")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "h1 long, h2 long, id long, at int, n int")
 
 
 def repeated_spans(docs: DataFrame, least: int = 2, words: int = 16, alone: int = 24, id_col: str = "doc_id", text_col: str = "text", tails: bool = False) -> DataFrame:
@@ -122,8 +118,8 @@ def drop_repeated_spans(docs: DataFrame, least: int = 2, words: int = 16, alone:
     _n_removed.  Spans are compared over all documents, and within one; the
     first occurrence, by id and place, stays.  A null text stays null and has
     no sentences; a document may end up empty.  Rows that share an id, or lack
-    one, count as one document: they are cut down alike.  An empty table gives
-    no rows.
+    one, are documents of their own, in order of an own row number; those
+    without an id come first.  An empty table gives no rows.
     """
     names = docs.columns
     text_at = names.index(text_col)
@@ -131,9 +127,10 @@ def drop_repeated_spans(docs: DataFrame, least: int = 2, words: int = 16, alone:
     # Under plain names no column of the input can clash with those in between.
     docs = docs.toDF(*[f"c{i}" for i in range(len(names))])
     at_id = f"c{names.index(id_col)}"
-    spans = repeated_spans(docs, least, words, alone, at_id, f"c{text_at}", tails)
+    plain, docs = docs, numbered(docs, at_id, "id")
+    spans = repeated_spans(docs, least, words, alone, "id", f"c{text_at}", tails)
     covered = spans.groupBy("id").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
-    joined = docs.withColumn("id", _id(at_id)).join(covered, "id", "left")
+    joined = docs.join(covered, "id", "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -157,7 +154,7 @@ def drop_repeated_spans(docs: DataFrame, least: int = 2, words: int = 16, alone:
                 columns[text_at] = pa.array(texts, pa.binary()).cast(pa.string())
                 yield pa.record_batch([*columns, pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=[f"c{i}" for i in range(len(names) + 2)])
 
-    flat = joined.select(*docs.columns, "spans")
+    flat = joined.select(*plain.columns, "spans")
     return flat.mapInArrow(cut, T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(fields)])).toDF(*[f.name for f in fields])
 
 
