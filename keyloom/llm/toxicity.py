@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import string
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,9 @@ LEET = {
 #: What the channel pays for a sign in a letter's place, for such a sign put between letters, for any other mark there, and for a letter said again.
 SWAP, DROP, MARK, AGAIN, TWICE = 1.2, 8.0, 0.3, 0.4, 6.0
 _PUNCT = string.punctuation + "…“”«»¿¡’‘–—"
+_NO_SIGNS = "".join(c for c in _PUNCT if c not in LEET)
+#: Signs of LEET that also punctuate, in front of words and behind them.
+_BEFORE, _BEHIND = "(<¡", "!"
 _TRIPLE = re.compile(r"(.)\1\1", re.DOTALL)
 _SPACED = re.compile(r"(?<!\S)\S(?:[^\S\n]\S){3,}(?!\S)")
 #: Classes of letters: 0 is a word's edge, 1-26 a-z, the others share the rest by code point.
@@ -70,22 +74,35 @@ def language_model(counts: Iterable[tuple[int, int]]) -> np.ndarray:
     return -np.log((n + 20.0 * back[None]) / (n.sum(axis=2, keepdims=True) + 20.0))
 
 
-def restore(token: str, cost: np.ndarray) -> str:
+@lru_cache(1 << 14)
+def _classes(last: str) -> tuple[int, int]:
+    return letter_class(last[-2:-1] or " "), letter_class(last[-1:] or " ")
+
+
+def restore(token: str, cost: np.ndarray, lead: int = 0, trail: int = 0) -> str:
     """The letters that ``token`` most likely stands for: Viterbi over its lattice.
 
     Every character may be the letter it is, a letter it resembles, a mark
     between letters, or the last letter said again; the language model weighs
     the letters, the channel the disguise.  A state is the last two letters.
+    Of the first ``lead`` and last ``trail`` characters, signs that punctuate
+    that edge of a word cost no more than any other mark to leave out.
     """
+    return _cheapest(token, cost, lead, trail)[1]
+
+
+def _cheapest(token: str, cost: np.ndarray, lead: int = 0, trail: int = 0) -> tuple[float, str]:
     best: dict[str, tuple[float, str]] = {"": (0.0, "")}
     run = [len(m[0]) for m in re.finditer(r"(.)\1*", token, re.DOTALL) for _ in m[0]]
-    for c, same in zip(token, run):
+    for at, (c, same) in enumerate(zip(token, run)):
         new: dict[str, tuple[float, str]] = {}
-        options = [(c, 0.0)] if c.isalpha() else [(x, SWAP) for x in LEET.get(c, "")]
+        options = [(c, 0.0, letter_class(c))] if c.isalpha() else [(x, SWAP, letter_class(x)) for x in LEET.get(c, "")]
+        usual = c == "*" or (at < lead and c in _BEFORE) or (at >= len(token) - trail and c in _BEHIND)
         for last, (so_far, text) in best.items():
-            moves = [(so_far + paid + float(cost[letter_class(last[-2:-1] or " "), letter_class(last[-1:] or " "), letter_class(x)]), x) for x, paid in options]
+            one, two = _classes(last)
+            moves = [(so_far + paid + cost.item(one, two, k), x) for x, paid, k in options]
             if not c.isalpha():
-                moves.append((so_far + (DROP if c in LEET and c != "*" else MARK), ""))
+                moves.append((so_far + (DROP if c in LEET and not usual else MARK), ""))
             elif last[-1:] == c:
                 moves.append((so_far + (AGAIN if same > 2 else TWICE), ""))
             for paid, x in moves:
@@ -93,35 +110,61 @@ def restore(token: str, cost: np.ndarray) -> str:
                 if to not in new or paid < new[to][0]:
                     new[to] = (paid, text + x)
         best = new
-    return min((paid + float(cost[letter_class(s[-2:-1] or " "), letter_class(s[-1:] or " "), 0]), text) for s, (paid, text) in best.items())[1]
+    return min((paid + cost.item(*_classes(s), 0), text) for s, (paid, text) in best.items())
 
 
 def decode(word: str, cost: np.ndarray) -> str:
-    """A lower-case word restored; words of plain letters have one path only."""
+    """A lower-case word restored; words of plain letters without signs of LEET at their edges have one path only.
+
+    A word of signs alone is letters only if they cost less than signs that
+    say nothing, each a letter of any kind; numbers mostly do not.
+    """
     core = word.strip(_PUNCT)
-    if core.isalpha() and not _TRIPLE.search(core):
+    if core.isalpha() and not _TRIPLE.search(core) and not _signs(word, core):
         return core
-    if not any(c.isalpha() for c in word):
+    lettered = any(c.isalpha() for c in word)
+    if not lettered and not any(c in LEET for c in word):
         return ""
     # Long runs of one letter say no more than three of it; a lattice is for words.
     whole = re.sub(r"(.)\1{3,}", r"\1\1\1", word, flags=re.DOTALL)
-    edges = whole.strip(_PUNCT) if len(whole) - len(whole.strip(_PUNCT)) >= 2 else whole.strip(".,;:?\"'()[]")
+    if not lettered:
+        whole = whole.strip(_NO_SIGNS)
+        paid, text = _cheapest(whole, cost)
+        signs = sum(c in LEET for c in whole)
+        return text if paid < signs * (SWAP + float(np.log(26))) + MARK * (len(whole) - signs) else ""
+    core = whole.strip(_PUNCT)
+    if _signs(whole, core):
+        edges = whole.strip(_NO_SIGNS)
+        return restore(edges, cost, len(edges) - len(edges.lstrip(_PUNCT)), len(edges) - len(edges.rstrip(_PUNCT)))
+    edges = core if len(whole) - len(core) >= 2 else whole.strip(".,;:?\"'()[]")
     return restore(edges, cost)
 
 
-def restored_words(text: str, cost: np.ndarray, known: dict[str, str]) -> set[str]:
+def _signs(word: str, core: str) -> bool:
+    """Whether what was stripped off ``core`` holds signs of LEET."""
+    at = word.find(core)
+    return any(c in LEET for c in word[:at] + word[at + len(core) :])
+
+
+def readings(word: str, cost: np.ndarray) -> tuple[str, ...]:
+    """A word restored and, if signs stand at the edges of plain letters, those letters as well."""
+    core, r = word.strip(_PUNCT), decode(word, cost)
+    plain = core.isalpha() and not _TRIPLE.search(core)
+    return tuple(x for x in ((r, core) if plain and core != r else (r,)) if x)
+
+
+def restored_words(text: str, cost: np.ndarray, known: dict[str, tuple[str, ...]]) -> set[str]:
     """All words of a text, restored; letters spaced out are put together and read from every letter on."""
     low = text.lower()
     found = set()
     for w in set(low.split()):
         r = known.get(w)
         if r is None:
-            r = decode(w, cost)
+            r = readings(w, cost)
             if len(known) > 100_000:
                 known.clear()
             known[w] = r
-        if r:
-            found.add(r)
+        found.update(r)
     for m in _SPACED.finditer(low):
         letters = m[0][::2]
         if len(set(letters)) > 2:
@@ -139,7 +182,7 @@ def _words(docs: DataFrame, cost: np.ndarray, chosen: dict[str, int] | None, nam
     """``names`` of every row, and the traits of its text: all of them, or the numbers of those that are chosen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, str] = {}
+        known: dict[str, tuple[str, ...]] = {}
         hits: dict[str, tuple[int, ...]] = {}
         for whole in batches:
             for batch in blocks(whole, len(names)):
