@@ -246,6 +246,18 @@ def index_unindex(t: Tables) -> DataFrame:
     return Index.of(few).unindex(few.where("tk % 2 <> 0"))[0].df
 
 
+@query("SELECT DISTINCT o_custkey AS ik, o_orderkey AS tk FROM orders")
+def index_duplicates_whole(t: Tables) -> DataFrame:
+    pairs = t.orders.df.select(F.col("o_custkey").alias("ik"), F.col("o_orderkey").alias("tk"))
+    return Index.of(pairs).index(pairs).index(pairs).df
+
+
+@query("SELECT o_custkey AS ik, o_orderkey AS tk FROM orders WHERE o_orderkey % 2 = 0")
+def index_unindex_whole(t: Tables) -> DataFrame:
+    pairs = t.orders.df.select(F.col("o_custkey").alias("ik"), F.col("o_orderkey").alias("tk"))
+    return Index.of(pairs).unindex(pairs.where("tk % 2 <> 0"))[0].df
+
+
 @query("SELECT o_custkey AS ik, o_orderkey AS tk FROM orders WHERE o_custkey = 10")
 def index_lookup(t: Tables) -> DataFrame:
     return t.customer_orders.indexed(10)
