@@ -75,14 +75,34 @@ def test_lines_against_brute_force(docs, odd_texts):
     assert [r.text for r in got.orderBy("doc_id").collect()] == cut_lines(texts)
 
 
-def test_hot_lines(docs, monkeypatch):
-    monkeypatch.setattr(lines, "HOT", 4)
+def test_hot_lines(docs):
     line = "one very common line of some length"
     texts = [line] * 150 + [line + "x", "another line that stands here alone"]
     got = [r.text for r in lines.drop_repeated_lines(docs(texts)).orderBy("doc_id").collect()]
     assert got == [line] + [""] * 150 + ["another line that stands here alone"]
 
 
+def test_hot_segments(docs, monkeypatch):
+    monkeypatch.setattr(lines, "SHARED", 2)
+    monkeypatch.setattr(lines, "SALTS", 3)
+    texts = line_texts()
+    assert [r.text for r in lines.drop_repeated_lines(docs(texts)).orderBy("doc_id").collect()] == cut_lines(texts)
+
+
+def test_large_group_of_near_copies(docs):
+    base, rng = "the quick brown fox jumps over the lazy dog and runs away from it", random.Random(8)
+    texts = [base] + [edited(rng, base, 2) for _ in range(1500)] + ["a line that is like no other one at all, it stays"]
+    got = [r.text for r in lines.drop_repeated_lines(docs(texts)).orderBy("doc_id").collect()]
+    assert got == [base] + [""] * 1500 + texts[-1:]
+
+
+def test_lines_that_share_segments_only(docs):
+    rng = random.Random(9)
+    texts = [f"{rng.randrange(10**12):012d} common text of a log line that goes on for a while {rng.randrange(10**4):04d}" for _ in range(300)]
+    texts += [t[:40] + "#" + t[41:] for t in texts[::7]]
+    assert [r.text for r in lines.drop_repeated_lines(docs(texts)).orderBy("doc_id").collect()] == cut_lines(texts)
+
+
 def test_lines_fetched_by_shuffle(docs, monkeypatch):
     monkeypatch.setattr(lines, "FETCH", 0)
     texts = line_texts()[:20]
