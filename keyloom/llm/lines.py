@@ -11,7 +11,7 @@ from keyloom.llm.common import Scratch, documents, numbered
 
 EDITS, SHORTEST = 2, 24
 #: ASCII letters whose counts, modulo 16, tell most lines apart before their texts are compared; as many as a long has room for.
-COUNTED = ("etaoinsrhldcump", "fgwybvkxjqz .,;")
+COUNTED = ("etaoinsrhldcump", "fgwybvkxjqz .,;", "0123456789-_/:#")
 _BLANK = " \t\r\x0b\x0c"
 #: Lines whose numbers are sent to every task to fetch their texts; above it the texts are shuffled instead.
 FETCH = 500_000
