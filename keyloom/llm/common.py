@@ -34,6 +34,21 @@ def ship(spark: SparkSession) -> None:
     ship.done = context
 
 
+def give_back() -> None:
+    """Return what a Python worker no longer needs to the system, as idle workers stay for a while."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import re
 import string
-from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import Scratch, documents, table
+from keyloom.llm.common import Scratch, documents, give_back, table
 from keyloom.llm.tokens import blocks
 
 #: Letters that a sign may stand for (fixed values).
@@ -20,14 +20,17 @@ LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "*": "aeiou", "€": "e", "£": "l", "¢": "c", "¡": "i",
 }
-#: What the channel pays for a sign in a letter's place, for such a sign put between letters, for any other mark there, and for a letter said again.
-SWAP, DROP, MARK, AGAIN, TWICE = 1.2, 8.0, 0.3, 0.4, 6.0
+#: What the channel pays for a sign in a letter's place, for such a sign put between letters, for any other mark there, for a letter said again, and for a space within a word.
+SWAP, DROP, MARK, AGAIN, TWICE, GAP = 1.2, 8.0, 0.3, 0.4, 6.0, 0.3
 _PUNCT = string.punctuation + "…“”«»¿¡’‘–—"
 _NO_SIGNS = "".join(c for c in _PUNCT if c not in LEET)
 #: Signs of LEET that also punctuate, in front of words and behind them.
 _BEFORE, _BEHIND = "(<¡", "!"
 _TRIPLE = re.compile(r"(.)\1\1", re.DOTALL)
-_SPACED = re.compile(r"(?<!\S)\S(?:[^\S\n]\S){3,}(?!\S)")
+#: Single characters one after another that may be a word spaced out.
+SPACED = 3
+#: Bytes of words that a worker keeps the readings of, and of a word that is kept at most.
+CACHE, WORD_BYTES = 8 << 20, 64
 #: Classes of letters: 0 is a word's edge, 1-26 a-z, the others share the rest by code point.
 CLASSES, OTHERS = 64, 37
 PREFIXES = (4, 5, 6, 7)
@@ -39,6 +42,10 @@ def letter_class(c: str) -> int:
     return 27 + ord(c) % OTHERS if c.isalpha() else 0
 
 
+#: The letters that signs may stand for, with their classes.
+_SIGNS = {sign: tuple((x, letter_class(x)) for x in found) for sign, found in LEET.items()}
+
+
 def class_table() -> np.ndarray:
     """Classes of the code points below 0x10000; upper case counts as lower case."""
     return np.array([letter_class(chr(i).lower()[0]) if not 0xD800 <= i < 0xE000 else 0 for i in range(0x10000)], np.int64)
@@ -74,43 +81,57 @@ def language_model(counts: Iterable[tuple[int, int]]) -> np.ndarray:
     return -np.log((n + 20.0 * back[None]) / (n.sum(axis=2, keepdims=True) + 20.0))
 
 
-@lru_cache(1 << 14)
-def _classes(last: str) -> tuple[int, int]:
-    return letter_class(last[-2:-1] or " "), letter_class(last[-1:] or " ")
-
-
 def restore(token: str, cost: np.ndarray, lead: int = 0, trail: int = 0) -> str:
     """The letters that ``token`` most likely stands for: Viterbi over its lattice.
 
     Every character may be the letter it is, a letter it resembles, a mark
-    between letters, or the last letter said again; the language model weighs
-    the letters, the channel the disguise.  A state is the last two letters.
-    Of the first ``lead`` and last ``trail`` characters, signs that punctuate
-    that edge of a word cost no more than any other mark to leave out.
+    between letters, or the last letter said again; a space may be nothing or
+    the end of a word.  The language model weighs the letters, the channel the
+    disguise.  A state is the last two letters.  Of the first ``lead`` and last
+    ``trail`` characters, signs that punctuate that edge of a word cost no more
+    than any other mark to leave out.
     """
     return _cheapest(token, cost, lead, trail)[1]
 
 
 def _cheapest(token: str, cost: np.ndarray, lead: int = 0, trail: int = 0) -> tuple[float, str]:
-    best: dict[str, tuple[float, str]] = {"": (0.0, "")}
-    run = [len(m[0]) for m in re.finditer(r"(.)\1*", token, re.DOTALL) for _ in m[0]]
-    for at, (c, same) in enumerate(zip(token, run)):
-        new: dict[str, tuple[float, str]] = {}
-        options = [(c, 0.0, letter_class(c))] if c.isalpha() else [(x, SWAP, letter_class(x)) for x in LEET.get(c, "")]
-        usual = c == "*" or (at < lead and c in _BEFORE) or (at >= len(token) - trail and c in _BEHIND)
-        for last, (so_far, text) in best.items():
-            one, two = _classes(last)
-            moves = [(so_far + paid + cost.item(one, two, k), x) for x, paid, k in options]
-            if not c.isalpha():
-                moves.append((so_far + (DROP if c in LEET and not usual else MARK), ""))
-            elif last[-1:] == c:
-                moves.append((so_far + (AGAIN if same > 2 else TWICE), ""))
-            for paid, x in moves:
-                to = (last + x)[-2:]
-                if to not in new or paid < new[to][0]:
-                    new[to] = (paid, text + x)
-        best = new
-    return min((paid + cost.item(*_classes(s), 0), text) for s, (paid, text) in best.items())
+    # For each state: what it cost, where its two letters stand in the flat table, and how it was reached, as (text, state before).
+    best: dict[str, tuple] = {"": (0.0, 0, None)}
+    price, before, behind = memoryview(cost.reshape(-1)), "", len(token) - trail
+    for at, c in enumerate(token):
+        new: dict[str, tuple] = {}
+        if c == " ":
+            whole = min(((paid + price[row], way) for paid, row, way in best.values()), key=lambda x: x[0])
+            for last, (paid, row, way) in best.items():
+                new[last] = (paid + GAP, row, way)
+            if "" not in new or whole[0] < new[""][0]:
+                new[""] = (whole[0], 0, (" ", whole[1]))
+        elif c.isalpha():
+            k = letter_class(c)
+            again = None if c != before else AGAIN if token[at - 2 : at] == c + c or token[at - 1 : at + 2] == c * 3 else TWICE
+            for last, (paid, row, way) in best.items():
+                if again is not None and last[-1:] == c and (last not in new or paid + again < new[last][0]):
+                    new[last] = (paid + again, row, way)
+                to, total = last[-1:] + c, paid + price[row + k]
+                if to not in new or total < new[to][0]:
+                    new[to] = (total, (row % (CLASSES * CLASSES) + k) * CLASSES, (c, way))
+        else:
+            signs = _SIGNS.get(c, ())
+            out = DROP if signs and not (c == "*" or (at < lead and c in _BEFORE) or (at >= behind and c in _BEHIND)) else MARK
+            for last, (paid, row, way) in best.items():
+                if last not in new or paid + out < new[last][0]:
+                    new[last] = (paid + out, row, way)
+                for x, k in signs:
+                    to, total = last[-1:] + x, paid + SWAP + price[row + k]
+                    if to not in new or total < new[to][0]:
+                        new[to] = (total, (row % (CLASSES * CLASSES) + k) * CLASSES, (x, way))
+        best, before = new, c
+    paid, way = min(((paid + price[row], way) for paid, row, way in best.values()), key=lambda x: x[0])
+    text = []
+    while way:
+        text.append(way[0])
+        way = way[1]
+    return paid, "".join(reversed(text))
 
 
 def decode(word: str, cost: np.ndarray) -> str:
@@ -148,29 +169,46 @@ def _signs(word: str, core: str) -> bool:
 
 def readings(word: str, cost: np.ndarray) -> tuple[str, ...]:
     """A word restored and, if signs stand at the edges of plain letters, those letters as well."""
+    word = word.lower()
+    if word.isalpha() and not _TRIPLE.search(word):
+        return (word,)
     core, r = word.strip(_PUNCT), decode(word, cost)
     plain = core.isalpha() and not _TRIPLE.search(core)
     return tuple(x for x in ((r, core) if plain and core != r else (r,)) if x)
 
 
-def restored_words(text: str, cost: np.ndarray, known: dict[str, tuple[str, ...]]) -> set[str]:
-    """All words of a text, restored; letters spaced out are put together and read from every letter on."""
-    low = text.lower()
-    found = set()
-    for w in set(low.split()):
-        r = known.get(w)
-        if r is None:
-            r = readings(w, cost)
-            if len(known) > 100_000:
-                known.clear()
-            known[w] = r
-        found.update(r)
-    for m in _SPACED.finditer(low):
-        letters = m[0][::2]
-        if len(set(letters)) > 2:
-            r = restore(re.sub(r"(.)\1{3,}", r"\1\1\1", letters), cost)
-            found.update(r[i : i + 24] for i in range(len(r) - 3))
-    return found
+def spaced_readings(letters: str, cost: np.ndarray) -> set[str]:
+    """Words of single characters that stood one after another: those of the best path, which may end words at spaces, and what begins at each letter."""
+    letters = re.sub(r"(.)\1{3,}", r"\1\1\1", letters.lower(), flags=re.DOTALL)
+    if not any(c.isalpha() or c in LEET for c in letters):
+        return set()
+    r = restore(" ".join(letters), cost)
+    joined = r.replace(" ", "")
+    return {*r.split(), *(joined[i : i + max(PREFIXES)] for i in range(len(joined) - 2))}
+
+
+def restored_words(text: str, cost: np.ndarray) -> set[str]:
+    """All words of a text, restored."""
+    words, spaced = _tokens(pa.array([text]))
+    found = {r for w in words[0] for r in readings(w, cost)}
+    return found.union(*(spaced_readings(letters, cost) for _, letters in spaced))
+
+
+def _tokens(texts: pa.StringArray) -> tuple[tuple[list[str], np.ndarray, np.ndarray], list[tuple[int, str]]]:
+    """(distinct words, each place's word, where each text begins), and (text, characters) of the runs of single characters."""
+    split = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
+    flat = split.flatten().dictionary_encode()
+    words, codes = flat.dictionary.to_pylist(), flat.indices.to_numpy()
+    edges = np.asarray(split.offsets) - split.offsets[0].as_py()
+    single = np.fromiter((len(w) == 1 for w in words), bool, len(words))[codes]
+    # Runs end where a text does.
+    text = np.repeat(np.arange(len(texts)), np.diff(edges))
+    cut = np.flatnonzero((np.diff(single.astype(np.int8)) != 0) | (np.diff(text) != 0)) + 1
+    spaced = []
+    for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(single)]):
+        if b - a >= SPACED and single[a]:
+            spaced.append((int(text[a]), "".join(words[c] for c in codes[a:b].tolist())))
+    return (words, codes, edges), spaced
 
 
 def traits(word: str) -> list[str]:
@@ -178,36 +216,78 @@ def traits(word: str) -> list[str]:
     return [word, *(f"{word[:k]}-" for k in PREFIXES if len(word) >= k)]
 
 
-def _words(docs: DataFrame, cost: np.ndarray, chosen: dict[str, int] | None, names: list[str]) -> DataFrame:
-    """``names`` of every row, and the traits of its text: all of them, or the numbers of those that are chosen."""
+class Cache(dict):
+    """What words give, for some bytes of words."""
+
+    def __init__(self, make: Callable[[str], tuple]) -> None:
+        self.make, self.held = make, 0
+
+    def __missing__(self, word: str) -> tuple:
+        found = self.make(word)
+        if len(word) <= WORD_BYTES:
+            self.held += len(word) + 64
+            if self.held > CACHE:
+                self.clear()
+                self.held = len(word) + 64
+            self[word] = found
+        return found
+
+
+def _words(docs: DataFrame, cost: np.ndarray, names: list[str]) -> DataFrame:
+    """``names`` of every row, and all traits of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[str, ...]] = {}
-        hits: dict[str, tuple[int, ...]] = {}
+        known = Cache(lambda w: tuple(t for r in readings(w, cost) for t in traits(r)))
         for whole in batches:
             for batch in blocks(whole, len(names)):
+                (words, codes, edges), spaced = _tokens(_readable(batch.column(len(names))))
                 rows = []
-                for raw in batch.column(len(names)):
-                    words = restored_words((raw.as_py() or b"").decode("utf-8", "replace"), cost, known)
-                    if chosen is None:
-                        rows.append(list({t for w in words for t in traits(w)}))
-                        continue
-                    own: set[int] = set()
-                    for w in words:
-                        got = hits.get(w)
-                        if got is None:
-                            if len(hits) > 100_000:
-                                hits.clear()
-                            got = hits[w] = tuple(chosen[t] for t in traits(w) if t in chosen)
-                        if got:
-                            own.update(got)
-                    rows.append(sorted(own))
-                kind = pa.list_(pa.string() if chosen is None else pa.int32())
-                yield pa.record_batch([*batch.columns[: len(names)], pa.array(rows, kind)], names=[*names, "traits"])
+                for a, b in zip(edges, edges[1:]):
+                    rows.append({t for c in np.unique(codes[a:b]).tolist() for t in known[words[c]]})
+                for row, letters in spaced:
+                    rows[row].update(t for r in spaced_readings(letters, cost) for t in traits(r))
+                yield pa.record_batch([*batch.columns[: len(names)], pa.array(map(list, rows), pa.list_(pa.string()))], names=[*names, "traits"])
+
+    schema = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in names)
+    return docs.select(*names, F.col("text").cast("binary").alias("text")).mapInArrow(run, f"{schema}, traits array<string>")
+
+
+def _readable(raw: pa.BinaryArray) -> pa.StringArray:
+    """Texts of bytes; what is no UTF-8 is replaced."""
+    try:
+        return raw.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([None if x is None else x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.string())
+
+
+def _chosen(docs: DataFrame, cost: np.ndarray, chosen: dict[str, int], weights: np.ndarray | None, names: list[str]) -> DataFrame:
+    """``names`` of every row, and its score or, without weights, the numbers of the traits that its text has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = lambda found: tuple({chosen[t] for r in found for t in traits(r) if t in chosen})
+        known = Cache(lambda w: of(readings(w, cost)))
+        for whole in batches:
+            for batch in blocks(whole, len(names)):
+                (words, codes, edges), spaced = _tokens(_readable(batch.column(len(names))))
+                found = [known[w] for w in words]
+                at = np.flatnonzero(np.fromiter(map(bool, found), bool, len(found))[codes])
+                rows = [set() for _ in range(batch.num_rows)]
+                for row, c in zip((np.searchsorted(edges, at, "right") - 1).tolist(), codes[at].tolist()):
+                    rows[row].update(found[c])
+                for row, letters in spaced:
+                    rows[row].update(of(spaced_readings(letters, cost)))
+                if weights is None:
+                    out = pa.array(map(sorted, rows), pa.list_(pa.int32()))
+                else:
+                    z = np.array([weights[-1] + sum(weights[i] for i in sorted(r)) for r in rows], float)
+                    out = pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+                yield pa.record_batch([*batch.columns[: len(names)], out], names=[*names, "found"])
+        known.clear()
+        give_back()
 
     schema = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in names)
-    out = f"{schema}, traits array<{'string' if chosen is None else 'int'}>"
-    return docs.select(*names, F.col("text").cast("binary").alias("text")).mapInArrow(run, out)
+    rows = docs.select(*names, F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, f"{schema}, found {'array<int>' if weights is None else 'double'}")
 
 
 def fit(rows: list[list[int]], y: np.ndarray, size: int, rounds: int = 400, ridge: float = 2e-4) -> np.ndarray:
@@ -250,7 +330,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, most: int =
     drawn = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # At most ``sample`` rows of two numbers: small enough for every task.
     picked = Scratch(docs.select(F.col(id_col).alias("doc_id"), "text").where("text IS NOT NULL").join(F.broadcast(drawn), "doc_id"))
-    seen = _words(picked.df, cost, None, ["toxic"]).select("toxic", F.explode("traits").alias("trait"))
+    seen = _words(picked.df, cost, ["toxic"]).select("toxic", F.explode("traits").alias("trait"))
     counts = seen.groupBy("trait").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
     size = picked.df.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("bad")).first()
     rate = (size.bad + 0.5) / (size.n + 1)
@@ -259,23 +339,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, most: int =
     gain = F.col("bad") * F.log(p / rate) + (F.col("n") - F.col("bad")) * F.log((1 - p) / (1 - rate))
     best = counts.where("n >= 2").withColumn("gain", gain).where("gain > 3").orderBy(F.col("gain").desc(), "trait").limit(most).select("trait").collect()
     chosen = {r.trait: i for i, r in enumerate(best)}
-    rows = _words(picked.df, cost, chosen, ["toxic"]).collect()
-    weights = fit([list(r.traits) for r in rows], np.array([r.toxic for r in rows], float), len(chosen))
+    rows = _chosen(picked.df, cost, chosen, None, ["toxic"]).collect()
+    weights = fit([list(r.found) for r in rows], np.array([r.toxic for r in rows], float), len(chosen))
     picked.drop()
     return Model(cost, chosen, weights)
 
 
 def score(docs: DataFrame, model: Model, names: list[str]) -> DataFrame:
     """``names`` of every row and its score from 0 to 1; a null text is an empty one."""
-    weights = model.weights
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            z = np.array([weights[-1] + sum(weights[i] for i in t) for t in batch.column(len(names)).to_pylist()], float)
-            yield pa.record_batch([*batch.columns[: len(names)], pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=[*names, "score"])
-
-    schema = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in names)
-    return _words(docs, model.cost, model.chosen, names).mapInArrow(run, f"{schema}, score double")
+    return _chosen(docs, model.cost, model.chosen, model.weights, names).withColumnRenamed("found", "score")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

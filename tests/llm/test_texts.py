@@ -275,7 +275,7 @@ def test_restored_words(talk):
     cost = toxicity.language_model([(r.gram, r.n) for r in toxicity.trigram_counts(talk[0]).collect()])
     for seen, meant in (("1d10t", "idiot"), ("i.d.i.o.t", "idiot"), ("idioooot", "idiot"), ("m0r0n!!", "moron"), ("###moron###", "moron"), ("letter,", "letter"), ("butttttter", "butter"), ("1989", ""), ("don't", "dont")):
         assert toxicity.decode(seen, cost) == meant
-    assert "idiot" in toxicity.restored_words("you are an i d i o t now", cost, {})
+    assert "idiot" in toxicity.restored_words("you are an i d i o t now", cost)
 
 
 def test_counts_cover_all_texts(docs, odd_texts):
