@@ -151,30 +151,29 @@ def components(spark: SparkSession, links: DataFrame, rounds: int = 60) -> DataF
     Alternates large-star and small-star steps, which need a number of rounds
     that grows with the logarithm of the largest component.  Each round's links
     go to the shared folder; none come to the driver.  Both steps use group
-    minima only, which Spark sums up before it shuffles, and joins on nodes.
+    minima only, which Spark sums up before it shuffles, and joins on nodes,
+    whose minima are tables of their own, so that Spark splits a hot node.
     """
     e = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
     e = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = Scratch(e)
-    last = None
     for _ in range(rounds):
         e = now.df
         # Large star: every larger neighbour of a node links to the node's smallest neighbour or itself.
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = Scratch(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+        large = Scratch(both.where("v > u").join(least.df, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        least.drop()
         # Small star: every smaller neighbour of a node, and the node, link to the smallest of them.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        new = Scratch(small)
-        now.drop()
+        least = Scratch(large.df.groupBy("u").agg(F.min("v").alias("m")))
+        new = Scratch(large.df.join(least.df, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        for done in (now, large, least):
+            done.drop()
         now = new
-        # Done when every link goes from a node straight to its root.
+        # Done when every link goes from a node straight to its root: no root is the larger end of a link, no node has two roots.
         e = now.df
-        stat = e.agg(F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h")).first()
-        if (stat.n, stat.h) == last:
+        if not e.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() and not e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").limit(1).count():
             break
-        last = (stat.n, stat.h)
     else:
         raise RuntimeError("components did not settle")
     return now.df.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import Scratch, components, documents
+from keyloom.llm.common import Scratch, components, documents, numbered
 from keyloom.llm.tokens import blocks
 
 
@@ -63,13 +63,16 @@ def near_fingerprints(fps: DataFrame, segment_bits: int = 32) -> DataFrame:
     tag = F.shiftleft(F.col("k").cast("long"), segment_bits)
     v = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(2 * segment_bits - 1))).alias("k"))
     v = v.select("fp", "k", F.expr(f"k div {segment_bits}").cast("int").alias("s"), (F.col("k") % segment_bits).alias("i"))
-    v = v.select("fp", "s", "i", hole.bitwiseOR(tag).alias("variant"))
-    x, y = v.alias("x"), v.select("fp", "variant").alias("y")
+    # Both sides have the same columns, so that one shuffle serves them; the variant's upper half tells segment and bit.
+    v = v.select("fp", hole.bitwiseOR(tag).alias("variant"))
+    x, y = v.alias("x"), v.alias("y")
+    k = F.shiftright("x.variant", segment_bits)
+    s, i = F.floor(k / segment_bits), (k % segment_bits).cast("int")
     apart = F.col("x.fp").bitwiseXOR(F.col("y.fp"))
     low, high = apart.bitwiseAND(F.lit(full)), F.shiftrightunsigned(apart, segment_bits)
-    here = F.when(F.col("x.s") == 0, low).otherwise(high)
-    once = F.when(here == 0, F.col("x.i") == 0).otherwise(here == F.expr("shiftleft(1L, x.i)"))
-    first = (F.col("x.s") == 0) | (F.bit_count(low) > 1)
+    here = F.when(s == 0, low).otherwise(high)
+    once = F.when(here == 0, i == 0).otherwise(here == F.call_function("shiftleft", F.lit(1).cast("long"), i))
+    first = (s == 0) | (F.bit_count(low) > 1)
     match = (F.col("x.variant") == F.col("y.variant")) & (F.col("x.fp") < F.col("y.fp")) & (F.bit_count(apart) <= 2) & once & first
     return x.join(y, match).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
 
@@ -94,23 +97,25 @@ def near_duplicates(docs: DataFrame, words: int = 3, id_col: str = "doc_id", tex
     linked = of.join(roots.select("root").distinct(), "root", "left_semi")
     least = linked.groupBy("root").agg(F.min("id").alias("component_id"))
     in_groups = linked.join(least, "root").select("fp", "component_id")
-    alone = of.join(in_groups, "fp", "left").select("fp", F.coalesce("component_id", "id").alias("component_id"))
-    out = rows.df.join(alone, "fp")
+    # A table of its own, so that Spark splits a fingerprint that many rows have.
+    alone = Scratch(of.join(in_groups, "fp", "left").select("fp", F.coalesce("component_id", "id").alias("component_id")))
+    out = rows.df.join(alone.df, "fp")
     return out.select("id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with one of each component left: the one with the smallest id.
 
-    Rows without an id are told apart by their text only.
+    Rows without an id come behind the others, then an own row number decides,
+    so null and repeated ids are documents like any other.
     """
     names = docs.columns
     # Under plain names no column of the input can clash with those in between.
     docs = docs.toDF(*[f"c{i}" for i in range(len(names))])
     at_id, at_text = (f"c{names.index(c)}" for c in (id_col, text_col))
-    found = near_duplicates(docs, words, at_id, at_text).where(F.col("id") == F.col("component_id")).select("id").distinct()
-    kept = docs.join(found, F.col(at_id).cast("long") == F.col("id"), "left_semi").dropDuplicates([at_id])
-    return kept.unionByName(docs.where(F.col(at_id).isNull()).dropDuplicates([at_text])).toDF(*names)
+    docs = numbered(docs, at_id, "key", nulls_last=True)
+    found = near_duplicates(docs, words, "key", at_text).where(F.col("id") == F.col("component_id")).select(F.col("id").alias("key"))
+    return docs.join(found, "key", "left_semi").drop("key").toDF(*names)
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyloom.llm.common import documents, numbered
+from keyloom.llm.common import Scratch, documents, numbered
 from keyloom.llm.tokens import blocks
 
 _END = re.compile(r"[.!?]\s+|\n\s*")
@@ -107,7 +107,8 @@ def repeated_spans(docs: DataFrame, least: int = 2, words: int = 16, alone: int
     """
     spans = span_hashes(docs, least, words, alone, id_col, text_col, tails)
     first = spans.groupBy("h1", "h2").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("k")).where("k > 1").select("h1", "h2", "first")
-    later = spans.join(first, ["h1", "h2"]).where((F.col("id") != F.col("first.id")) | (F.col("at") != F.col("first.at")))
+    # A table of its own, so that Spark splits a span that many documents share.
+    later = spans.join(Scratch(first).df, ["h1", "h2"]).where((F.col("id") != F.col("first.id")) | (F.col("at") != F.col("first.at")))
     return later.select("id", "at", "n")
 
 

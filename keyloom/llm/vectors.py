@@ -250,6 +250,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, top: int = TOP, node:
     roots = components(vectors.sparkSession, linked.df.select(F.col("id").alias("a"), F.col("root").alias("b")))
     per = distinct.df.join(counts, "id", "left").join(roots, F.col("id") == F.col("node"), "left")
     per = per.select(*group, (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
+    # A table of its own, so that Spark splits a vector that many rows have.
+    per = Scratch(per).df
     full = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("x"))
     full = full.withColumn("label", F.when(finite("x") & F.col("vec_id").isNotNull(), F.col("label")))
     out = full.join(per, group, "left")
