@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.operators.index import Derived, Index
@@ -14,6 +16,18 @@ from keyloom.operators.index import Derived, Index
 Values = dict[str, Column]
 
 
+def checkpoints(spark: SparkSession) -> None:
+    """See to it that checkpoints have a folder: the session's own, or a temporary one where all run on one machine."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if where is None:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            where = "file://" + tempfile.mkdtemp(prefix="keyloom-")
+        context.setCheckpointDir(where)
+
+
 @dataclass(frozen=True)
 class Collection:
     """``df`` holds the key columns ``key`` (one, or several for a composite key) and the value columns.
@@ -126,22 +140,26 @@ class Collection:
 
         Keys and collection are cut into the same ranges, so each task looks at
         one range and the borders carry over by two small summaries; no window
-        runs over the whole collection.
+        runs over the whole collection.  The cut is checkpointed, since it is
+        read twice and a cut drawn anew need not be the same.
         """
         from pyspark.sql import Window
 
-        k = self.key[0]
-        both = self.df.select(F.col(k).alias("_k"), F.lit(0).alias("_ask")).unionByName(keys.select(F.col(key_col).alias("_k"), F.lit(1).alias("_ask")).distinct())
-        ranged = both.repartitionByRange("_k").withColumn("_part", F.spark_partition_id())
+        spark = self.df.sparkSession
+        k, ranges = self.key[0], int(spark.conf.get("spark.sql.shuffle.partitions"))
+        both = self.df.select(F.col(k).alias("_k"), F.lit(0).alias("_ask")).unionByName(keys.select(F.col(key_col).alias("_k"), F.lit(1).alias("_ask")).where("_k IS NOT NULL").distinct())
+        checkpoints(spark)
+        ranged = both.repartitionByRange(ranges, "_k").withColumn("_part", F.spark_partition_id()).checkpoint()
         own = F.when(F.col("_ask") == 0, F.col("_k"))
         edges = ranged.groupBy("_part").agg(F.min(own).alias("_lo"), F.max(own).alias("_hi"))
-        # One row for each partition.
+        # One row for each range.
         before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-        after = Window.orderBy("_part").rowsBetween(1, Window.unboundedFollowing)
+        after = Window.orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, -1)
         edges = edges.select("_part", F.max("_hi").over(before).alias("_down"), F.min("_lo").over(after).alias("_up"))
-        near = ranged.withColumn("_d", F.last(own, True).over(Window.partitionBy("_part").orderBy("_k", F.col("_ask").desc()).rowsBetween(Window.unboundedPreceding, -1)))
-        near = near.withColumn("_u", F.first(own, True).over(Window.partitionBy("_part").orderBy("_k", "_ask").rowsBetween(1, Window.unboundedFollowing)))
-        out = near.where("_ask = 1").join(edges, "_part")
+        # A key that is asked for comes before its equal either way; frames that begin at the first row grow row by row.
+        up, down = (Window.partitionBy("_part").orderBy(order, F.col("_ask").desc()).rowsBetween(Window.unboundedPreceding, -1) for order in (F.col("_k").asc(), F.col("_k").desc()))
+        near = ranged.withColumn("_d", F.last(own, True).over(up)).withColumn("_u", F.last(own, True).over(down))
+        out = near.where("_ask = 1").join(F.broadcast(edges), "_part")
         return out.select(F.col("_k").alias(key_col), F.coalesce("_d", "_down").alias("previous"), F.coalesce("_u", "_up").alias("next"))
 
     # Indexes.
@@ -179,9 +197,12 @@ class Collection:
 
     # Writes: batches of any size, each one step.
     def fold(self, batch: DataFrame, sequence: str | None) -> DataFrame:
-        """The last row for each key, by ``sequence`` if the batch has one; without it a key must not repeat."""
+        """The last row for each key, by ``sequence`` if the batch has one; without it a key that repeats is an error, as none is the last."""
         if sequence is None:
-            return batch
+            rest = F.struct(*[c for c in batch.columns if c not in self.key])
+            one = batch.groupBy(*self.key).agg(F.first(rest).alias("_v"), F.count("*").alias("_n"))
+            once = F.when(F.col("_n") > 1, F.raise_error(F.lit("a key repeats in the batch: name the column of its sequence"))).otherwise(F.col("_v"))
+            return one.select(*self.key, once.alias("_v")).select(*self.key, "_v.*") if len(batch.columns) > len(self.key) else batch.distinct()
         rest = [c for c in batch.columns if c not in self.key]
         last = F.max_by(F.struct(*[c for c in rest if c != sequence]), F.col(sequence))
         return batch.groupBy(*self.key).agg(last.alias("_v")).select(*self.key, "_v.*")
@@ -199,6 +220,8 @@ class Collection:
         ``keys`` has the key columns and whatever else the modifier reads;
         ``old(c)`` is the old value of a column, null without one.
         """
+        if len(keys.columns) == len(self.key):
+            keys = keys.distinct()
         held = self.df.select(*self.key, F.struct(*self.values).alias("_old"), F.lit(True).alias("_here"))
         both = keys.join(held, list(self.key), "left")
         here = F.coalesce("_here", F.lit(False))

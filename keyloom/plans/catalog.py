@@ -162,8 +162,13 @@ def contains_missing(t: Tables) -> DataFrame:
     return t.pages.contains("no such page")
 
 
-@query("SELECT conv_id, turn, role, text FROM conversations ORDER BY conv_id, turn LIMIT 1")
+@query("SELECT conv_id, turn, role, text FROM conversations WHERE conv_id = 0 AND turn = 1")
 def fetch_composite(t: Tables) -> DataFrame:
+    return t.conversations.fetch((0, 1))
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations ORDER BY conv_id, turn LIMIT 1")
+def head_composite(t: Tables) -> DataFrame:
     return t.conversations.head()
 
 
@@ -212,9 +217,9 @@ def collection_size(t: Tables) -> DataFrame:
     return t.orders.df.agg(F.count("*").alias("n"))
 
 
-@query("SELECT e AS k, (SELECT max(o_orderkey) FROM orders WHERE o_orderkey < e) AS previous, (SELECT min(o_orderkey) FROM orders WHERE o_orderkey > e) AS next FROM (SELECT DISTINCT event_id AS e FROM events WHERE event_id < 50)")
+@query("WITH k AS (SELECT DISTINCT event_id AS k FROM events) SELECT k, p.o_orderkey AS previous, n.o_orderkey AS next FROM k ASOF LEFT JOIN orders AS p ON k.k > p.o_orderkey ASOF LEFT JOIN orders AS n ON k.k < n.o_orderkey")
 def neighbours(t: Tables) -> DataFrame:
-    asked = t.events.df.where("event_id < 50").select(F.col("event_id").alias("k"))
+    asked = t.events.df.select(F.col("event_id").alias("k"))
     return t.orders.neighbours(asked, "k")
 
 
@@ -234,26 +239,14 @@ def index_full(t: Tables) -> DataFrame:
     return t.customer.derive_full(F.array(F.struct(F.col("c_mktsegment").alias("ik"), F.col("c_nationkey").alias("tk")))).df
 
 
-@query("SELECT DISTINCT o_custkey AS ik, o_orderkey AS tk FROM orders WHERE o_orderkey < 50")
-def index_duplicates(t: Tables) -> DataFrame:
-    few = t.orders.df.where("o_orderkey < 50").select(F.col("o_custkey").alias("ik"), F.col("o_orderkey").alias("tk"))
-    return Index.of(few).index(few).index(few).df
-
-
-@query("SELECT o_custkey AS ik, o_orderkey AS tk FROM orders WHERE o_orderkey < 50 AND o_orderkey % 2 = 0")
-def index_unindex(t: Tables) -> DataFrame:
-    few = t.orders.df.where("o_orderkey < 50").select(F.col("o_custkey").alias("ik"), F.col("o_orderkey").alias("tk"))
-    return Index.of(few).unindex(few.where("tk % 2 <> 0"))[0].df
-
-
 @query("SELECT DISTINCT o_custkey AS ik, o_orderkey AS tk FROM orders")
-def index_duplicates_whole(t: Tables) -> DataFrame:
+def index_duplicates(t: Tables) -> DataFrame:
     pairs = t.orders.df.select(F.col("o_custkey").alias("ik"), F.col("o_orderkey").alias("tk"))
     return Index.of(pairs).index(pairs).index(pairs).df
 
 
 @query("SELECT o_custkey AS ik, o_orderkey AS tk FROM orders WHERE o_orderkey % 2 = 0")
-def index_unindex_whole(t: Tables) -> DataFrame:
+def index_unindex(t: Tables) -> DataFrame:
     pairs = t.orders.df.select(F.col("o_custkey").alias("ik"), F.col("o_orderkey").alias("tk"))
     return Index.of(pairs).unindex(pairs.where("tk % 2 <> 0"))[0].df
 
@@ -283,6 +276,12 @@ def index_contains(t: Tables) -> DataFrame:
     return t.customer_orders.contains(10, 11)
 
 
+@query("SELECT count(*) > 0 AS found FROM orders AS o JOIN (SELECT o_custkey, o_orderkey FROM orders ORDER BY o_orderkey LIMIT 1) AS f USING (o_custkey, o_orderkey)")
+def index_contains_present(t: Tables) -> DataFrame:
+    first = t.orders.head().first()
+    return t.customer_orders.contains(first.o_custkey, first.o_orderkey)
+
+
 @query("SELECT min(o_orderkey) AS tk FROM orders WHERE o_custkey = 10")
 def index_fetch(t: Tables) -> DataFrame:
     return t.customer_orders.fetch(10)

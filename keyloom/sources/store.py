@@ -28,6 +28,8 @@ from keyloom.operators.collection import Collection
 from keyloom.operators.index import Derived, Index
 
 _writing = threading.local()
+#: One lock for each store that this process writes to: a local disk's check for a file and its making are two steps.
+_turns: dict[str, threading.Lock] = {}
 
 
 @dataclass(frozen=True)
@@ -42,6 +44,7 @@ class StoreConfig:
     home: str | None = None
     max_key_bytes: int = 511
     lock_timeout: float = 60.0
+    lock_lease: float = 30.0
     sync: bool = False
     max_readers: int = 1000
     max_collections: int = 10_000
@@ -49,7 +52,7 @@ class StoreConfig:
 
     @staticmethod
     def from_env(**given: Any) -> StoreConfig:
-        kinds = {"max_key_bytes": int, "lock_timeout": float, "sync": lambda x: x.lower() in ("1", "true"), "max_readers": int, "max_collections": int, "map_size": int}
+        kinds = {"max_key_bytes": int, "lock_timeout": float, "lock_lease": float, "sync": lambda x: x.lower() in ("1", "true"), "max_readers": int, "max_collections": int, "map_size": int}
         found = {}
         for f in StoreConfig.__dataclass_fields__:
             if (v := os.environ.get(f"KEYLOOM_{f.upper()}")) is not None:
@@ -85,22 +88,48 @@ class Files:
     def names(self, p: str) -> list[str]:
         return [s.getPath().getName() for s in self.fs.listStatus(self._path(p))]
 
-    def create(self, p: str, text: str) -> bool:
-        """Write a new file whole; False if it exists."""
-        part = f"{p}.{uuid.uuid4().hex}"
-        out = self.fs.create(self._path(part), True)
+    def put(self, p: str, text: str, overwrite: bool = False) -> bool:
+        """Write a file; False if there is one that must not be overwritten."""
+        try:
+            out = self.fs.create(self._path(p), overwrite)
+        except Exception as e:  # noqa: BLE001
+            if "FileAlreadyExistsException" in str(e):
+                return False
+            raise E.StorageError(str(e)) from e
         try:
             out.write(bytearray(text, "utf-8"))
         finally:
             out.close()
+        return True
+
+    def age(self, p: str) -> float | None:
+        """Seconds since a file was last touched; None if it has gone."""
         try:
-            # Exclusive: an empty claim first, since renames may overwrite on some file systems.
-            self.fs.create(self._path(f"{p}.claim"), False).close()
-        except Exception as e:  # noqa: BLE001
-            self.delete(part)
-            if "exist" in str(e).lower():
+            return time.time() - self.fs.getFileStatus(self._path(p)).getModificationTime() / 1000
+        except Exception:  # noqa: BLE001
+            return None
+
+    def touch(self, p: str) -> None:
+        self.fs.setTimes(self._path(p), int(time.time() * 1000), -1)
+
+    def create(self, p: str, text: str, lease: float) -> bool:
+        """Write a new file whole; False if it exists or another writer is about to make it.
+
+        Exclusive by a claim with its owner's name, since renames may overwrite
+        on some file systems.  A claim whose owner went before it made the file
+        is taken over once it is older than ``lease``.
+        """
+        owner, claim = uuid.uuid4().hex, f"{p}.claim"
+        while not self.put(claim, owner):
+            age = self.age(claim)
+            if self.exists(p) or (age is not None and age <= lease):
                 return False
-            raise E.StorageError(str(e)) from e
+            self.delete(claim)
+        part = f"{p}.{owner}"
+        self.put(part, text, True)
+        if self.exists(p) or self.read(claim) != owner:
+            self.delete(part)
+            return False
         return bool(self.fs.rename(self._path(part), self._path(p)))
 
     def read(self, p: str) -> str:
@@ -119,7 +148,7 @@ class Store:
         self.files = Files(spark, self.path)
         self.files.mkdirs(f"{self.path}/_manifest")
         if not self.files.exists(f"{self.path}/_manifest/{0:012d}.json"):
-            self.files.create(f"{self.path}/_manifest/{0:012d}.json", json.dumps({"objects": {}}))
+            self.files.create(f"{self.path}/_manifest/{0:012d}.json", json.dumps({"objects": {}}), config.lock_lease)
 
     @staticmethod
     def open(spark: SparkSession, home: str | None = None, name: str | None = None, **options: Any) -> Store:
@@ -153,19 +182,26 @@ class Store:
         held = _writing.__dict__.setdefault("paths", set())
         if self.path in held:
             raise E.NestedWriteTransaction(self.path)
-        lock = f"{self.path}/_lock"
+        lock, owner = f"{self.path}/_lock", uuid.uuid4().hex
         until = time.monotonic() + self.config.lock_timeout
-        while True:
-            try:
-                self.files.fs.create(self.files._path(lock), False).close()
-                break
-            except Exception as e:  # noqa: BLE001
-                if "exist" not in str(e).lower():
-                    raise E.StorageError(str(e)) from e
-                if time.monotonic() > until:
-                    raise E.StorageError(f"{lock} is held by another writer") from e
-                time.sleep(0.05)
+        turn = _turns.setdefault(self.path, threading.Lock())
+        if not turn.acquire(timeout=self.config.lock_timeout):
+            raise E.StorageError(f"{lock} is held by another writer")
+        try:
+            self._take(lock, owner, until)
+        except BaseException:
+            turn.release()
+            raise
         held.add(self.path)
+        over = threading.Event()
+
+        def keep() -> None:
+            while not over.wait(self.config.lock_lease / 4):
+                with contextlib.suppress(Exception):
+                    if self.files.read(lock) == owner:
+                        self.files.touch(lock)
+
+        threading.Thread(target=keep, daemon=True).start()
         try:
             txn = WriteTxn(self, self.version())
             try:
@@ -175,8 +211,46 @@ class Store:
                 txn.abort()
                 raise
         finally:
+            over.set()
             held.discard(self.path)
-            self.files.delete(lock)
+            with contextlib.suppress(Exception):
+                if self.files.read(lock) == owner:
+                    self.files.delete(lock)
+            turn.release()
+
+    def _take(self, lock: str, owner: str, until: float) -> None:
+        while True:
+            if self.files.put(lock, owner):
+                time.sleep(0.01)
+                with contextlib.suppress(Exception):
+                    if self.files.read(lock) == owner:
+                        return
+            # Its holder touches the lock again and again; one that does not any more has died.
+            if (self.files.age(lock) or 0) > self.config.lock_lease:
+                self.files.delete(lock)
+            elif time.monotonic() > until:
+                raise E.StorageError(f"{lock} is held by another writer")
+            else:
+                time.sleep(0.05)
+
+    def vacuum(self, keep: int = 10) -> int:
+        """Delete the snapshots that none of the last ``keep`` commits names, and older manifests; how many went.
+
+        A reader that is pinned to one of those commits still finds its files.
+        """
+        with self.read_write():
+            folder, gone = f"{self.path}/_manifest", 0
+            versions = sorted(int(n[:-5]) for n in self.files.names(folder) if n.endswith(".json"))
+            named = {o["snapshot"] for v in versions[-max(1, keep) :] for o in self.manifest(v).values()}
+            for v in versions[: -max(1, keep)]:
+                for suffix in ("json", "json.claim"):
+                    self.files.delete(f"{folder}/{v:012d}.{suffix}")
+            for name in self.files.names(f"{self.path}/data") if self.files.exists(f"{self.path}/data") else ():
+                for snapshot in self.files.names(f"{self.path}/data/{name}"):
+                    if f"data/{name}/{snapshot}" not in named:
+                        self.files.delete(f"{self.path}/data/{name}/{snapshot}")
+                        gone += 1
+        return gone
 
     # Catalog.
     def _names(self, kind: str | None) -> list[str]:
@@ -353,7 +427,9 @@ class WriteTxn(ReadTxn):
 
     def commit(self) -> None:
         where = f"{self.store.path}/_manifest/{self.version + 1:012d}.json"
-        if not self.store.files.create(where, json.dumps({"objects": self.objects})):
+        if self.objects == self.store.manifest(self.version):
+            return
+        if not self.store.files.create(where, json.dumps({"objects": self.objects}), self.store.config.lock_lease):
             raise E.WriteConflict(where)
 
     def abort(self) -> None:
@@ -455,17 +531,23 @@ class StoredCollection:
         c = txn.collection(self.name)
         c = replace(c, indexes={n: (how, txn.index(n)) for n, how in self.indexes})
         after, result = change(txn, c)
-        rows = result.collect() if isinstance(result, DataFrame) else result
         txn.put_collection(self.name, after)
         for n in after.indexes:
             txn.put_index(n, after.index(n))
-        return rows
+        return result(txn) if callable(result) else result
 
-    def _frame(self, rows: DataFrame | list | dict | tuple) -> DataFrame:
+    def _result(self, given: Any, df: DataFrame) -> Any:
+        """Rows for keys that came as a list; for a batch of any size a DataFrame over snapshots, of which the caller collects what it likes."""
+        return df if isinstance(given, DataFrame) else df.collect()
+
+    def _frame(self, rows: DataFrame | list | dict | tuple) -> tuple[DataFrame, str | None]:
+        """The rows, and for a list the column that says which of a key's rows is the last."""
         if isinstance(rows, DataFrame):
-            return rows
-        rows = rows if isinstance(rows, list) else [rows]
-        return self.store.spark.createDataFrame(rows, self.now().df.schema)
+            return rows, None
+        schema = self.now().df.schema
+        rows = [tuple(r.get(f.name) for f in schema) if isinstance(r, dict) else tuple(r) for r in (rows if isinstance(rows, list) else [rows])]
+        ordered = T.StructType([*schema.fields, T.StructField("_nth", T.LongType())])
+        return self.store.spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], ordered), "_nth"
 
     def _keys(self, keys: Any) -> DataFrame:
         if isinstance(keys, DataFrame):
@@ -476,7 +558,11 @@ class StoredCollection:
         return self.store.spark.createDataFrame(rows, T.StructType([c.df.schema[k] for k in c.key]))
 
     def upsert_overwrite(self, rows: Any, sequence: str | None = None) -> None:
-        batch = self._frame(rows)
+        """Of a key that repeats the last row in a list, or by ``sequence``, wins; in a DataFrame without one it is an error."""
+        batch, nth = self._frame(rows)
+        sequence = sequence or nth
+        if sequence != nth and nth:
+            batch = batch.drop(nth)
 
         def change(txn: WriteTxn, c: Collection) -> tuple[Collection, None]:
             txn._check_keys(batch, c.key)
@@ -488,20 +574,31 @@ class StoredCollection:
         """The rows after ``modify(old, exists)``."""
         batch = self._keys(keys)
 
-        def change(txn: WriteTxn, c: Collection) -> tuple[Collection, DataFrame]:
+        def change(txn: WriteTxn, c: Collection) -> tuple[Collection, Callable]:
             txn._check_keys(batch, c.key)
-            return c.upsert(batch, modify)
+            after, _ = c.upsert(batch, modify)
+            return after, lambda txn: self._result(keys, txn.collection(self.name).df.join(batch.select(*c.key), list(c.key), "left_semi"))
 
         return self._write(change)
 
     def update(self, keys: Any, modify: Callable) -> list:
         batch = self._keys(keys)
-        return self._write(lambda txn, c: c.update(batch, modify))
+
+        def change(txn: WriteTxn, c: Collection) -> tuple[Collection, Callable]:
+            after, _ = c.update(batch, modify)
+            return after, lambda txn: self._result(keys, txn.collection(self.name).df.join(batch.select(*c.key), list(c.key), "left_semi"))
+
+        return self._write(change)
 
     def delete(self, keys: Any) -> list:
         """The rows that went."""
         batch = self._keys(keys)
-        return self._write(lambda txn, c: c.delete(batch))
+
+        def change(txn: WriteTxn, c: Collection) -> tuple[Collection, Any]:
+            after, gone = c.delete(batch)
+            return after, lambda txn: self._result(keys, gone)
+
+        return self._write(change)
 
     def clear(self) -> None:
         self._write(lambda txn, c: (c.clear(), None))
@@ -542,28 +639,30 @@ class StoredIndex:
             return pairs.select("ik", "tk")
         return self.store.spark.createDataFrame(pairs if isinstance(pairs, list) else [pairs], self.now().df.schema)
 
-    def _write(self, change: Callable[[Index], Index]) -> None:
+    def _write(self, change: Callable[[Index], tuple[Index, DataFrame | None]]) -> DataFrame | None:
+        def apply(txn: WriteTxn) -> DataFrame | None:
+            after, result = change(txn.index(self.name))
+            txn.put_index(self.name, after)
+            return result
+
         if isinstance(self.txn, WriteTxn):
-            self.txn.put_index(self.name, change(self.txn.index(self.name)))
-        elif self.txn is not None:
+            return apply(self.txn)
+        if self.txn is not None:
             raise E.StorageError("a write in a read-only transaction")
-        else:
-            with self.store.read_write() as txn:
-                txn.put_index(self.name, change(txn.index(self.name)))
+        with self.store.read_write() as txn:
+            return apply(txn)
 
     def index(self, pairs: Any) -> None:
         batch = self._frame(pairs)
-        self._write(lambda i: i.index(batch))
+        self._write(lambda i: (i.index(batch), None))
 
-    def unindex(self, pairs: Any) -> list:
-        """The pairs that were there."""
-        batch = self._frame(pairs)
-        there = self.now().unindex(batch)[1].collect()
-        self._write(lambda i: i.unindex(batch)[0])
-        return there
+    def unindex(self, pairs: Any) -> list | DataFrame:
+        """The pairs that were there when they were removed: a list for a list, a DataFrame over the snapshot for a DataFrame."""
+        there = self._write(lambda i: i.unindex(self._frame(pairs)))
+        return there if isinstance(pairs, DataFrame) else there.collect()
 
     def clear(self) -> None:
-        self._write(lambda i: i.clear())
+        self._write(lambda i: (i.clear(), None))
 
     def _row(self, df: DataFrame):  # noqa: ANN202
         return next(iter(df.collect()), None)

@@ -172,3 +172,38 @@ def test_stream_into_a_collection(spark, store, tmp_path):
     stream = spark.readStream.schema("k string, v int, seq int").json(source)
     upsert_stream(stream, c, str(tmp_path / "cp"), "seq").awaitTermination(120)
     assert values(c) == {"x": 2, "y": 5}
+
+
+def test_the_last_row_of_a_key_wins(spark, tmp_path):
+    store = Store.open(spark, f"file://{tmp_path}", "repeat")
+    c = store.collection_create("c", "k", "k int, v string")
+    c.upsert_overwrite([(1, "a"), (2, "x"), (1, "b")])
+    assert c.size() == 2 and c.fetch(1).v == "b"
+    with pytest.raises(Exception, match="repeats"):
+        c.upsert_overwrite(spark.createDataFrame([(1, "p"), (1, "q")], "k int, v string"))
+    assert c.fetch(1).v == "b"
+    gone = c.delete(spark.createDataFrame([(1,)], "k int"))
+    assert [tuple(r) for r in gone.collect()] == [(1, "b")] and c.size() == 1 and c.delete([2]) and not c.size()
+
+
+def test_writers_that_died(spark, tmp_path):
+    store = Store.open(spark, f"file://{tmp_path}", "died", lock_lease=0.5, lock_timeout=20.0)
+    c = store.collection_create("c", "k", "k int, v string")
+    store.files.put(f"{store.path}/_lock", "someone who died")
+    store.files.put(f"{store.path}/_manifest/{store.version() + 1:012d}.json.claim", "someone who died")
+    import time
+
+    time.sleep(1.1)
+    c.upsert_overwrite([(1, "a")])
+    assert c.size() == 1 and not store.files.exists(f"{store.path}/_lock")
+
+
+def test_vacuum_spares_what_is_named(spark, tmp_path):
+    store = Store.open(spark, f"file://{tmp_path}", "vacuum")
+    c = store.collection_create("c", "k", "k int, v string")
+    for i in range(4):
+        c.upsert_overwrite([(i, str(i))])
+    with store.read_only() as txn:
+        assert store.vacuum(keep=2) == 2
+        assert txn.collection("c").size() == 4
+    assert store.vacuum(keep=1) == 1 and c.size() == 4

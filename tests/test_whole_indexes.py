@@ -7,7 +7,7 @@ from keyloom.plans import catalog
 duckdb = pytest.importorskip("duckdb")
 
 
-@pytest.mark.parametrize("name", ["index_duplicates_whole", "index_unindex_whole"])
+@pytest.mark.parametrize("name", ["index_duplicates", "index_unindex"])
 def test_whole_table(spark, sf, name):
     got = sorted(tuple(r) for r in catalog.QUERIES[name](spark, sf).collect())
     con = duckdb.connect()
