@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -90,17 +91,20 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
     assignment or quotes around (context), randomness (entropy), and the check
     digit.  Traits are kind, length and mix of letters, in small classes.
     """
-    taken = sorted((a, b) for _, a, b in base)
-    out, ends = [], [b for _, b in taken]
-
-    def free(a: int, b: int) -> bool:
-        import bisect
-
-        i = bisect.bisect_right(ends, a)
-        return all(x >= b or y <= a for x, y in taken[max(0, i - 3) : i + 3])
+    out, starts, ends = [], [], []
+    # What is taken, as stretches that do not overlap, in order.
+    for _, a, b in sorted(base, key=lambda s: s[1:]):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
 
     def add(kind: str, a: int, b: int, votes: tuple[int, ...]) -> None:
-        if free(a, b) and not any(x < b and a < y for _, x, y, _, _ in out):
+        at = bisect.bisect_left(starts, b)
+        if not at or ends[at - 1] <= a:
+            starts.insert(at, a)
+            ends.insert(at, b)
             s = text[a:b]
             digits, upper = sum(c.isdigit() for c in s) / len(s), sum(c.isupper() for c in s) / len(s)
             mix = min(3, int(digits * 4)) * 3 + (0 if upper == 0 else 1 if upper < 0.5 else 2)
@@ -241,4 +245,5 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("base", ","), 256).alias("base_sha256"),
         joined.alias("spans"),
         F.size("more").cast("long").alias("n_added"),
+        (F.size("base") + F.size("more")).cast("long").alias("n_spans"),
     )

@@ -282,7 +282,8 @@ def best_by_blocks(queries: np.ndarray, own: np.ndarray, rows: np.ndarray, ids:
     for q in range(len(queries)):
         alive = np.flatnonzero(ids != own[q])
         if not exact:
-            score = np.array([sum(int(x) * y for x, y in zip(queries[q], ints[i])) for i in alive], object)
+            # What does not fit a long counts as the largest or smallest one.
+            score = np.array([max(-(2**63), min(2**63 - 1, sum(int(x) * y for x, y in zip(queries[q], ints[i])))) for i in alive], object)
         else:
             score = np.zeros(len(alive))
             for b, s in enumerate(starts):
@@ -306,13 +307,15 @@ def top_k(vectors: DataFrame, queries: Column | None = None, k: int = 10, scale:
     score; ties go to the smaller id, and a query has fewer rows if there are
     fewer candidates.  Vectors that are null or hold null or non-finite
     components, and rows without an id, take no part; a shorter vector counts
-    as if it had zeros behind.  Rows that repeat an id are candidates each.
+    as if it had zeros behind.  Rows that repeat an id are candidates each, and
+    queries each unless their vectors are equal too.  Scores beyond a long's
+    range count as its largest or smallest value.
 
     Candidates lie in buckets and queries in blocks of bounded size; each
     bucket meets each block in one group, which keeps ``k`` rows per query.
     """
     v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x")).where(finite("x") & F.col("id").isNotNull())
-    asked = v.where((F.col("id") % 100 == 0) if queries is None else queries)
+    asked = v.where((F.col("id") % 100 == 0) if queries is None else queries).distinct().withColumn("q", F.xxhash64("id", "x"))
     rows, n_queries = v.count(), asked.count()
     buckets = max(-(-rows // bucket_rows), min(64, -(-rows // 16)), 1)
     blocks = max(1, -(-n_queries // block_rows))
@@ -327,21 +330,22 @@ def top_k(vectors: DataFrame, queries: Column | None = None, k: int = 10, scale:
         return np.floor(out * scale)
 
     def search(rows: pa.Table, asked: pa.Table) -> pa.Table:
-        found = ([], [], [])
+        found = ([], [], [], [])
         if len(rows) and len(asked):
             dims = max(int(np.asarray(t["x"].combine_chunks().value_lengths()).max()) for t in (rows, asked))
-            own, ids = asked["id"].to_numpy(), rows["id"].to_numpy()
+            own, which, ids = asked["id"].to_numpy(), asked["q"].to_numpy(), rows["id"].to_numpy()
             for q, near, scores in best_by_blocks(dense(asked["x"], dims), own, dense(rows["x"], dims), ids, k):
                 found[0].append(np.full(len(near), own[q]))
                 found[1].append(near)
                 found[2].append(scores)
-        return pa.table([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in found], names=["query_id", "vec_id", "score"])
+                found[3].append(np.full(len(near), which[q]))
+        return pa.table([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in found], names=["query_id", "vec_id", "score", "q"])
 
     pairs = left.groupBy("bucket", "block").cogroup(right.groupBy("bucket", "block"))
-    best = pairs.applyInArrow(search, "query_id long, vec_id long, score long")
+    best = pairs.applyInArrow(search, "query_id long, vec_id long, score long, q long")
     from pyspark.sql import Window
 
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    order = Window.partitionBy("query_id", "q").orderBy(F.col("score").desc(), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
