@@ -26,15 +26,22 @@ class KeyCodec:
     encode: Callable[[Column], Column]
     decode: Callable[[Column], Column]
     width: int | None
+    strict: Callable[[Column], Column] | None = None
 
     def checked(self, buffer: Column) -> Column:
-        """Decode, raising at run time where the buffer holds fewer bytes than the codec's width."""
+        """Decode, raising at run time where the buffer holds fewer bytes than the codec's width or is malformed."""
+        if self.strict is not None:
+            return self.strict(buffer)
         if self.width is None:
             return self.decode(buffer)
         short = F.octet_length(buffer) < self.width
         return F.when(short, F.raise_error(F.lit(str(KeyCodecError("insufficient_bytes", self.name))))).otherwise(self.decode(buffer))
 
 
+def _error(kind: str, name: str) -> Column:
+    return F.raise_error(F.lit(str(KeyCodecError(kind, name))))
+
+
 def _fixed(width: int, decode: Callable[[Column], Column]) -> Callable[[Column], Column]:
     return lambda b: F.when(F.octet_length(b) >= width, decode(b))
 
@@ -102,8 +109,18 @@ def pair_key(first: KeyCodec, second: KeyCodec) -> KeyCodec:
         found = F.struct(first.decode(a).alias("a"), second.decode(rest).alias("b"))
         return found if first.width is not None else F.when(h.rlike(r"^(?:(?!00)..|00FF)*00(?!FF)"), found)
 
+    def strict(buffer: Column) -> Column:
+        """Without a zero byte that ends the first part, or with one too many in it, the bytes are no pair."""
+        h, found = F.hex(buffer), decode(buffer)
+        out = F.when(~h.rlike(r"^(?:(?!00)..|00FF)*00(?!FF)"), _error("missing_separator", name))
+        if second.width is not None:
+            rest = (F.length(h) - F.length(F.regexp_extract(h, r"^((?:(?!00)..|00FF)*)00(?!FF)", 1)) - 2) / 2
+            out = out.when(rest > second.width, _error("unescaped_zero", name)).when(rest < second.width, _error("insufficient_bytes", name))
+        return out.otherwise(found)
+
+    name = f"({first.name}, {second.name})"
     width = first.width + second.width if first.width is not None and second.width is not None else None
-    return KeyCodec(f"({first.name}, {second.name})", encode, decode, width)
+    return KeyCodec(name, encode, decode, width, strict if first.width is None else None)
 
 
 # Locations: the bits of both axes interleaved, longitude's in the even places.
@@ -192,6 +209,12 @@ collation_key = KeyCodec("collation", lambda b: b, lambda b: b, None)
 
 # ULIDs: 26 Crockford digits, 16 bytes.
 def ulid_to_bytes(text: Column) -> Column:
+    """The bytes of a ULID's text in either case; text that is none, or beyond 128 bits, raises."""
+    good = F.upper(text).rlike(f"^[0-7][{CROCKFORD}]{{25}}$")
+    return F.when(~good, _error("invalid_input", "ulid")).otherwise(_ulid_bytes(text))
+
+
+def _ulid_bytes(text: Column) -> Column:
     t = F.translate(F.upper(text), CROCKFORD, BASE32)
     part = lambda at, n, digits: F.lpad(F.conv(F.substring(t, at, n), 32, 16), digits, "0")
     return F.unhex(F.concat(part(1, 2, 2), part(3, 12, 15), part(15, 12, 15)))

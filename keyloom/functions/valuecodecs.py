@@ -41,7 +41,9 @@ def text_encode(value: Column) -> Column:
 
 
 def number_decode(text: Column, kind: str = "decimal(38,18)") -> Column:
-    """A JSON number as int, double, float or decimal; a number that does not fit raises."""
+    """A JSON number as int, double, float or decimal; a number that does not fit, or text that is no JSON number, raises."""
+    good = text.rlike(r"^-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?$")
+    text = F.when(~good, F.raise_error(F.lit("not a JSON number"))).otherwise(text)
     return text.cast("decimal(38,18)").cast(kind) if kind == "int" else text.cast(kind)
 
 

@@ -11,7 +11,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.operators.index import Derived, Index
+from keyloom.operators.index import Derived, Index, Updater
 
 Values = dict[str, Column]
 
@@ -40,7 +40,7 @@ class Collection:
     df: DataFrame
     key: tuple[str, ...]
     name: str = "collection"
-    indexes: dict[str, tuple[Derived, Index]] = field(default_factory=dict)
+    indexes: dict[str, tuple[Derived | Updater, Index]] = field(default_factory=dict)
 
     @staticmethod
     def of(df: DataFrame, key: str | Sequence[str], name: str = "collection") -> Collection:
@@ -171,6 +171,10 @@ class Collection:
         """Attach an index of the pairs in ``pairs``, an array of structs (ik, tk)."""
         return self._attach(name, Derived(None, pairs))
 
+    def with_updater(self, name: str, index: Index, updater: Updater) -> Collection:
+        """Attach ``index``, which ``updater`` keeps up at every write."""
+        return replace(self, indexes=self.indexes | {name: (updater, index)})
+
     def _attach(self, name: str, how: Derived) -> Collection:
         return replace(self, indexes=self.indexes | {name: (how, Index.empty_like(how.pairs(self.df, self.key)))})
 
@@ -182,7 +186,8 @@ class Collection:
         return Index(Derived(None, pairs).pairs(self.df, self.key).distinct())
 
     def rebuild_indexes(self) -> Collection:
-        return replace(self, indexes={n: (how, Index(how.pairs(self.df, self.key).distinct())) for n, (how, _) in self.indexes.items()})
+        rebuilt = lambda how, i: how.insert(how.cleared(i), self.df) if isinstance(how, Updater) else Index(how.pairs(self.df, self.key).distinct())
+        return replace(self, indexes={n: (how, rebuilt(how, i)) for n, (how, i) in self.indexes.items()})
 
     def index(self, name: str) -> Index:
         return self.indexes[name][1]
@@ -191,6 +196,9 @@ class Collection:
         """With ``df`` for rows, and every index changed by the difference between the rows that went and those that came."""
         moved = {}
         for name, (how, index) in self.indexes.items():
+            if isinstance(how, Updater):
+                moved[name] = (how, how.written(index, old, new, self.key))
+                continue
             gone, come = how.pairs(old, self.key).distinct(), how.pairs(new, self.key).distinct()
             moved[name] = (how, index.apply(gone.join(come, ["ik", "tk"], "left_anti"), come.join(gone, ["ik", "tk"], "left_anti")))
         return replace(self, df=df, indexes=moved)
@@ -242,7 +250,7 @@ class Collection:
 
     def clear(self) -> Collection:
         """No rows; attached indexes are emptied, whatever else filled them."""
-        return replace(self, df=self.df.limit(0), indexes={n: (how, Index(i.df.limit(0))) for n, (how, i) in self.indexes.items()})
+        return replace(self, df=self.df.limit(0), indexes={n: (how, how.cleared(i) if isinstance(how, Updater) else Index(i.df.limit(0))) for n, (how, i) in self.indexes.items()})
 
     # Queries.
     def query(self):  # noqa: ANN201

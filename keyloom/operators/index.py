@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from typing import Any
 
@@ -26,6 +26,31 @@ class Derived:
         return found.where("ik IS NOT NULL AND tk IS NOT NULL")
 
 
+@dataclass(frozen=True)
+class Updater:
+    """An index kept up by functions of one's own, each from the index and the rows that changed to the new index.
+
+    ``update`` gets the rows before and after; without it they are deleted and
+    inserted.  Without ``clear`` the index is emptied.
+    """
+
+    insert: Callable[[Index, DataFrame], Index]
+    delete: Callable[[Index, DataFrame], Index]
+    update: Callable[[Index, DataFrame, DataFrame], Index] | None = None
+    clear: Callable[[Index], Index] | None = None
+
+    def written(self, index: Index, old: DataFrame, new: DataFrame, key: Sequence[str]) -> Index:
+        """After rows ``old`` went and rows ``new`` came; those of one key are an update."""
+        keys = list(key)
+        index = self.delete(index, old.join(new.select(*keys), keys, "left_anti"))
+        before, after = old.join(new.select(*keys), keys, "left_semi"), new.join(old.select(*keys), keys, "left_semi")
+        index = self.update(index, before, after) if self.update else self.insert(self.delete(index, before), after)
+        return self.insert(index, new.join(old.select(*keys), keys, "left_anti"))
+
+    def cleared(self, index: Index) -> Index:
+        return self.clear(index) if self.clear else Index(index.df.limit(0))
+
+
 @dataclass(frozen=True)
 class Index:
     """``df`` has the columns (ik, tk), each pair once."""

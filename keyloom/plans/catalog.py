@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from keyloom.functions import keycodecs as K
 from keyloom.functions import valuecodecs as V
 from keyloom.operators.collection import Collection
-from keyloom.operators.index import Index
+from keyloom.operators.index import Index, Updater
 from keyloom.plans.query import python_test
 from keyloom.sources.store import Store
 from keyloom.sources.tables import collection
@@ -496,6 +496,18 @@ def index_collision(t: Tables) -> DataFrame:
     return c.delete(t.nation.df.where("n_nationkey = 0"))[0].index("regions").df
 
 
+@query("SELECT c_mktsegment AS ik, c_custkey AS tk FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT 'updated', c_custkey FROM customer WHERE c_custkey % 3 = 1")
+def index_updater(t: Tables) -> DataFrame:
+    # An index of its own making: rows by segment, and by a word of their own once they were changed.
+    by = lambda df, ik: df.select(ik.alias("ik"), F.col("c_custkey").alias("tk"))
+    segment = F.col("c_mktsegment")
+    updater = Updater(lambda i, new: i.index(by(new, segment)), lambda i, old: i.unindex(by(old, segment))[0], lambda i, _, new: i.index(by(new, F.lit("updated"))))
+    rows = t.customer.df
+    c = t.customer.with_updater("by_segment", Index(by(rows.limit(0), segment)), updater).rebuild_indexes()
+    c, _ = c.delete(rows.where("c_custkey % 3 = 0"))
+    return c.upsert_overwrite(rows.where("c_custkey % 3 = 1").withColumn("c_acctbal", F.col("c_acctbal") + 1)).index("by_segment").df
+
+
 @query("SELECT 0::BIGINT AS rows, 0::BIGINT AS pairs")
 def clear_indexed(t: Tables) -> DataFrame:
     c = t.nation.with_index("by_region", F.array("n_regionkey")).rebuild_indexes().clear()

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from keyloom import errors as E
 from keyloom.operators.collection import Collection
-from keyloom.operators.index import Derived, Index
+from keyloom.operators.index import Derived, Index, Updater
 
 _writing = threading.local()
 #: One lock for each store that this process writes to: a local disk's check for a file and its making are two steps.
@@ -448,7 +448,7 @@ class StoredCollection:
 
     store: Store
     name: str
-    indexes: tuple[tuple[str, Derived], ...] = ()
+    indexes: tuple[tuple[str, Derived | Updater], ...] = ()
     txn: WriteTxn | ReadTxn | None = None
 
     def with_index(self, index: str, keys: Column) -> StoredCollection:
@@ -457,6 +457,9 @@ class StoredCollection:
     def with_index_full(self, index: str, pairs: Column) -> StoredCollection:
         return replace(self, indexes=(*self.indexes, (index, Derived(None, pairs))))
 
+    def with_updater(self, index: str, updater: Updater) -> StoredCollection:
+        return replace(self, indexes=(*self.indexes, (index, updater)))
+
     def now(self) -> Collection:
         """The rows as of this transaction, or of the latest commit."""
         return (self.txn or ReadTxn(self.store, self.store.version())).collection(self.name)

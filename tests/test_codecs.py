@@ -154,3 +154,20 @@ def test_plain_values(spark):
 def test_custom_codec(spark):
     enc, dec = V.custom(lambda s: s.map(lambda x: x[::-1].encode()), lambda b: b.map(lambda x: bytes(x).decode()[::-1]), "string")
     assert frame(spark, [("abc",)], "s string").select(dec(enc("s")).alias("s")).first().s == "abc"
+
+
+def test_malformed_bytes_and_texts_raise(spark):
+    from keyloom.functions import valuecodecs as V
+
+    codec = K.pair_key(K.string_key, K.uuid_key)
+    for bad in (b"abc", b"a\x00b\x00" + bytes(range(1, 17)), b"a\x00short"):
+        with pytest.raises(Exception, match="missing_separator|unescaped_zero|insufficient_bytes"):
+            spark.createDataFrame([(bytearray(bad),)], "b binary").select(codec.checked(F.col("b"))).collect()
+    for bad in ("8" + "Z" * 25, "U" * 26, "0" * 25):
+        with pytest.raises(Exception, match="ulid"):
+            spark.createDataFrame([(bad,)], "s string").select(K.ulid_key.encode(F.col("s"))).collect()
+    assert len(spark.createDataFrame([("7" + "z" * 25,)], "s string").select(K.ulid_key.encode(F.col("s")).alias("b")).first().b) == 16
+    for bad in ("NaN", "1d", " 1 ", "01", ".5", "+1"):
+        with pytest.raises(Exception, match="JSON number"):
+            spark.createDataFrame([(bad,)], "s string").select(V.number_decode(F.col("s"), "double")).collect()
+    assert spark.createDataFrame([("-1.5e3",)], "s string").select(V.number_decode(F.col("s"), "double").alias("n")).first().n == -1500.0
