@@ -278,7 +278,7 @@ def followers(lines: Scratch, edits: int = EDITS, shortest: int = SHORTEST) -> D
         sizes = rows.groupBy("key").agg(F.count("*").alias("n"))
         open_ = left.groupBy("key").agg(F.count("*").alias("m")).join(sizes, "key")
         meet = open_.agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0))).first()[0]
-        if turn == STARS or (turn and (meet <= 4 * n or meet > 0.8 * last)):
+        if turn == STARS or meet <= 4 * n or (turn and meet > 0.8 * last):
             break
         last = meet
         star = left.where("NOT probe").join(met, ["key", "at"], "left_anti").groupBy("key").agg(F.min("at").alias("at"))
@@ -290,7 +290,8 @@ def followers(lines: Scratch, edits: int = EDITS, shortest: int = SHORTEST) -> D
         met = met.unionByName(stars.select("key", "at"))
     earlier = (F.col("x.key") == F.col("y.key")) & (F.col("y.at") < F.col("x.at")) & ~(F.col("x.probe") & F.col("y.probe")) & _alike("x", "y", edits)
     pairs = left.alias("x").join(rows.alias("y"), earlier)
-    return gone.unionByName(_verified(pairs.select(F.col("y.at").alias("a"), F.col("x.at").alias("b")), texts, edits)).distinct()
+    found = _verified(pairs.select(F.col("y.at").alias("a"), F.col("x.at").alias("b")), texts, edits)
+    return found if gone is None else gone.unionByName(found).distinct()
 
 
 def kept_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
