@@ -13,6 +13,8 @@ from keyloom.llm.common import Scratch, components, table
 
 #: Vectors of the cover tree's top level, which the driver sees; vectors of a lower node that is compared at once.
 TOP, NODE = 2048, 2048
+#: The side of vectors whose node meets itself; nodes that meet another one are sides 0 and 1.
+SELF = 2
 
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,15 +94,18 @@ def threshold_pairs(raw: np.ndarray, units: np.ndarray, a: Cover, b: Cover, leas
 
 def _linked(ids: np.ndarray, copies: np.ndarray, raw: np.ndarray, sides: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(id, links, smallest id it links up with here) of the vectors that link, within one side or between two."""
+    kinds = np.unique(sides)
+    same = kinds[0] == SELF
+    if len(kinds) < 2 and not same:  # the other node's part is empty
+        return ids[:0], ids[:0], ids[:0]
     units = raw / np.sqrt((raw * raw).sum(axis=1))[:, None]
     trees = []
-    for side in np.unique(sides):
+    for side in kinds:
         rows = np.flatnonzero(sides == side)
         trees.append(Cover(units, rows, int(rows[0]), distances(units[rows], units[rows[0]])))
     n, root, heard = np.zeros(len(ids), np.int64), ids.copy(), np.zeros(len(ids), bool)
     found = []
     for x, y, links in threshold_pairs(raw, units, trees[0], trees[-1], least):
-        same = len(trees) == 1
         if links is None:
             n[x] += copies[y].sum()
             if not same:
@@ -125,7 +130,7 @@ def _linked(ids: np.ndarray, copies: np.ndarray, raw: np.ndarray, sides: np.ndar
             if (new == root).all():
                 break
             root = new
-    if len(trees) == 1:  # each vector met itself once: it counts its other copies
+    if same:  # each vector met itself once: it counts its other copies
         n = n - copies
     return ids[heard], n[heard], root[heard]
 
@@ -146,7 +151,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, top: int = TOP, node:
     apart.  Balls are cut into nodes of at most about ``node`` vectors, and
     each remaining pair of nodes is one group of bounded size, in which two
     cover trees with halving radii are traversed together.  What a group
-    returns is a row for each vector, never its pairs.
+    returns is a row for each vector, never its pairs.  Labels that the sample
+    missed are cut into nodes likewise, all of which meet; how many each has
+    comes from a table, as there may be any number of such labels.
     """
     v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("x"))
     good = finite("x") & F.col("label").isNotNull() & F.col("id").isNotNull() & F.exists("x", lambda c: c != 0)
@@ -179,9 +186,13 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, top: int = TOP, node:
             yield pa.record_batch([*batch.columns, pa.array(ball), pa.array(far)], names=["id", "copies", "key", "x", "ball", "far"])
 
     balls = Scratch(d.select("id", "copies", "key", "x").mapInArrow(nearest, "id long, copies long, key string, x array<double>, ball long, far double"))
-    # Balls of the sample, and one per label that the sample missed: those are known by key alone.
+    # Balls of the sample; labels that the sample missed are known by key alone, and one vector has nothing to meet.
     known = {r.ball: (r.far, r.n) for r in balls.df.where("ball >= 0").groupBy("ball").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect()}
     reach, partners = (2.0 - 2.0 * least) ** 0.5 + 1e-6, []
+    missed = Scratch(balls.df.where("ball < 0").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / node).cast("int").alias("cuts")))
+    dealt = balls.df.where("ball >= 0").withColumn("cuts", F.lit(0))
+    if missed.df.limit(1).count():
+        dealt = dealt.unionByName(balls.df.where("ball < 0").join(missed.df, "key").select(*dealt.columns))
     parts = {b: -(-n // node) for b, (_, n) in known.items()}
     # Small neighbouring balls would give many tiny pairs: they share a node, which only ever adds pairs to look at.
     nodes: dict[int, tuple[str, int]] = {}
@@ -221,14 +232,16 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, top: int = TOP, node:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each vector once for every node that its own node meets: the meeting's name, and which side it is on."""
         for batch in batches:
-            ids, ball = batch.column(0).to_numpy(), batch.column(4).to_numpy()
+            ids, ball, own = batch.column(0).to_numpy(), batch.column(4).to_numpy(), batch.column(6).to_pylist()
             mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             at, meets, sides = [], [], []
             for i, (s, h) in enumerate(zip(span_of[ball].tolist(), mixed.tolist())):
-                if s < 0:  # a label that the sample missed is a node of its own
-                    at.append(i)
-                    meets.append(f"={batch.column(2)[i].as_py()}")
-                    sides.append(0)
+                if s < 0:  # of a label that the sample missed all nodes meet
+                    for part in range(own[i]):
+                        one, two = sorted((h % own[i], part))
+                        at.append(i)
+                        meets.append(f"={batch.column(2)[i].as_py()}.{one}-{two}")
+                        sides.append(SELF if one == two else int(h % own[i] == two))
                     continue
                 mine = (s, h % cuts[s])
                 for t in pairs[s]:
@@ -236,7 +249,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, top: int = TOP, node:
                         one, two = sorted((mine, (t, part)))
                         at.append(i)
                         meets.append(f"{one[0]}.{one[1]}-{two[0]}.{two[1]}")
-                        sides.append(int(mine == two and one != two))
+                        sides.append(SELF if one == two else int(mine == two))
             cols = batch.take(pa.array(at, pa.int64()))
             yield pa.record_batch([pa.array(meets, pa.string()), pa.array(sides, pa.int32()), cols.column(0), cols.column(1), cols.column(3)], names=["meet", "side", "id", "copies", "x"])
 
@@ -244,7 +257,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, top: int = TOP, node:
         found = _linked(table["id"].to_numpy(), table["copies"].to_numpy(), matrix(table["x"]), table["side"].to_numpy(), least)
         return pa.table([pa.array(x, pa.int64()) for x in found], names=["id", "n", "root"])
 
-    met = balls.df.mapInArrow(deal, "meet string, side int, id long, copies long, x array<double>")
+    met = dealt.mapInArrow(deal, "meet string, side int, id long, copies long, x array<double>")
     linked = Scratch(met.groupBy("meet").applyInArrow(link, "id long, n long, root long"))
     counts = linked.df.groupBy("id").agg(F.sum("n").alias("n"))
     roots = components(vectors.sparkSession, linked.df.select(F.col("id").alias("a"), F.col("root").alias("b")))

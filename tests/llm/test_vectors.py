@@ -60,6 +60,23 @@ def test_near_vectors_without_a_sampled_label(spark):
     check_near(spark, sample(8), top=1)
 
 
+def test_near_vectors_of_many_and_of_large_labels_without_a_sample(spark):
+    """Three of four large labels and forty small ones have no vector in the top level; large ones are cut into nodes."""
+    rng = np.random.RandomState(11)
+    rows = []
+    for i in range(700):
+        v = rng.randn(8) if i % 5 == 0 else np.array(rows[-1][1], float) + rng.randn(8) * 0.2
+        rows.append((i * 3, [float(np.float32(x)) for x in v], i // 150 if i < 600 else 10 + i % 40))
+    check_near(spark, rows, top=1, node=64)
+
+
+def test_a_node_that_meets_an_empty_one_counts_nothing():
+    raw = np.ones((3, 4))
+    ids, copies = np.arange(3), np.ones(3, np.int64)
+    assert [len(x) for x in vectors._linked(ids, copies, raw, np.zeros(3, int), 0.93)] == [0, 0, 0]
+    assert vectors._linked(ids, copies, raw, np.full(3, vectors.SELF), 0.93)[1].tolist() == [2, 2, 2]
+
+
 def test_dual_traversal_prunes_and_includes():
     rng = np.random.RandomState(1)
     centres = rng.randn(12, 16)
