@@ -17,6 +17,11 @@ def _offset(source: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), source)), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def mixed_id(ident: Column) -> Column:
+    """32 bits of a multiplicative hash, whose upper ones lie evenly for ids in any regular distance."""
+    return F.pmod(ident, F.lit(1 << 31)) * F.lit(2654435761) % F.lit(1 << 32)
+
+
 def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """``target`` for each row (src, source_size) of ``sizes``, one row per source.
 
@@ -47,9 +52,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     target / size.  Documents in order of size add theirs up, from one random
     offset, and one copy is made for each whole number that is crossed: so
     large and small documents are taken alike, and a source's words miss its
-    target by about one of its largest documents at most.  Equal documents are
-    told apart by nothing but their order, and it does not matter which gets
-    the copy.  A null text has size 0; null is a source of its own, the last
+    target by about one of its largest documents at most.  Documents of equal
+    size are in order of ``mixed_id``, then of their id, however many rows or
+    buckets there are.  A null text has size 0; null is a source of its own, the last
     one; a source without words has target 0 and no copies.  An empty table
     gives no rows.
 
@@ -66,15 +71,16 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
         F.coalesce(F.col(f"doc.`{id_col}`").cast("long"), F.lit(-1).cast("long")).alias("id"),
     )
     skinny = Scratch(sized.select("src", "size", "id"))
-    n = buckets_for(skinny.df.count())
-    bucket = F.pmod(F.col("id"), F.lit(n)).cast("int")
+    # The upper bits of the mixed id are the bucket, so the number of buckets does not change the order.
+    bits = (buckets_for(skinny.df.count()) - 1).bit_length()
+    placed = lambda df: df.withColumn("mixed", mixed_id(F.col("id"))).withColumn("bucket", F.shiftright("mixed", 32 - bits))
     hist = skinny.df.groupBy("src", "size").agg(F.count("*").alias("n"))
     ends = Window.partitionBy("src").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
     hist = hist.withColumn("smaller", F.coalesce(F.sum("n").over(ends), F.lit(0)))
     by_source = targets(skinny.df.groupBy("src").agg(F.sum("size").alias("source_size")), weights, share, most)
     # One row for each size of each source.
     level = hist.join(by_source, "src").select("src", "size", "smaller", "source_size", "target")
-    ranked = salted_rank(sized.withColumn("bucket", bucket), ["src", "size"], "bucket", ["id"], "rank", skinny.df.withColumn("bucket", bucket))
+    ranked = salted_rank(placed(sized), ["src", "size"], "bucket", ["mixed", "id"], "rank", placed(skinny.df))
     r = F.when(F.col("source_size") > 0, F.least(F.lit(most), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
     at = (F.col("smaller") + F.col("rank")).cast("double")
     crossed = lambda x: F.floor(x * r + _offset(F.col("src"), seed))
@@ -98,7 +104,6 @@ WITH d AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS src,
     coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, coalesce(doc_id, -1) AS id
   FROM documents),
-p AS (SELECT least(1 << 20, greatest(256, count(*) // 20000))::BIGINT AS n FROM d),
 s AS (SELECT src, sum(size)::BIGINT AS source_size FROM d GROUP BY src),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY src) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w, 2.0::DOUBLE * source_size AS cap FROM s),
 o AS (SELECT *,
@@ -110,7 +115,7 @@ t AS (SELECT src, source_size, CASE WHEN (SELECT count(*) FROM l) = 0 THEN cap E
     CAST('0x' || substr(md5('mix:' || src), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496.0 AS u FROM o),
 k AS (SELECT d.*, t.source_size, t.target, t.u,
     CASE WHEN source_size > 0 THEN least(2.0::DOUBLE, target / source_size) ELSE 0.0 END AS r,
-    row_number() OVER (PARTITION BY d.src ORDER BY size, ((id % n) + n) % n, id)::DOUBLE AS nth
-  FROM d JOIN t USING (src) CROSS JOIN p)
+    row_number() OVER (PARTITION BY d.src ORDER BY size, (((id % 2147483648) + 2147483648) % 2147483648) * 2654435761 % 4294967296, id)::DOUBLE AS nth
+  FROM d JOIN t USING (src))
 SELECT doc_id, size, source_size, target, (size * (floor(nth * r + u) - floor((nth - 1) * r + u)))::BIGINT AS taken FROM k
 """

@@ -41,6 +41,16 @@ def test_reruns_agree_whatever_the_partitions(docs):
     assert one == two
 
 
+def test_the_number_of_buckets_changes_nothing(docs, monkeypatch):
+    texts = [("w " * (i % 4), "abc"[i % 3]) for i in range(300)]
+    d = docs(texts, [(-1) ** i * i * 1_000_003 for i in range(300)])
+    found = []
+    for n in (2, 256, 1 << 20):
+        monkeypatch.setattr(mixing, "buckets_for", lambda rows, n=n: n)
+        found.append({r.doc_id: r._copies for r in mixing.mix(d).collect()})
+    assert found[0] == found[1] == found[2] and len(found[0]) == 300
+
+
 def test_odd_texts_ties_and_clashing_columns(docs, odd_texts):
     d = docs([(t, None if i % 2 else "s") for i, t in enumerate(odd_texts * 2)], [1] * 10 + [None] * 20)
     d = d.withColumns({c: F.lit("x") for c in ("_size", "src", "bucket", "rank", "copies", "id", "size", "doc")})
