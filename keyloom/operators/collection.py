@@ -11,7 +11,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.operators.index import Derived, Index, Updater
+from keyloom.operators.index import Change, Derived, Index, Updater
 
 Values = dict[str, Column]
 
@@ -41,6 +41,7 @@ class Collection:
     key: tuple[str, ...]
     name: str = "collection"
     indexes: dict[str, tuple[Derived | Updater, Index]] = field(default_factory=dict)
+    change: Change | None = None
 
     @staticmethod
     def of(df: DataFrame, key: str | Sequence[str], name: str = "collection") -> Collection:
@@ -192,7 +193,7 @@ class Collection:
     def index(self, name: str) -> Index:
         return self.indexes[name][1]
 
-    def _written(self, df: DataFrame, old: DataFrame, new: DataFrame) -> Collection:
+    def _written(self, df: DataFrame, old: DataFrame, new: DataFrame, change: Change) -> Collection:
         """With ``df`` for rows, and every index changed by the difference between the rows that went and those that came."""
         moved = {}
         for name, (how, index) in self.indexes.items():
@@ -201,7 +202,7 @@ class Collection:
                 continue
             gone, come = how.pairs(old, self.key).distinct(), how.pairs(new, self.key).distinct()
             moved[name] = (how, index.apply(gone.join(come, ["ik", "tk"], "left_anti"), come.join(gone, ["ik", "tk"], "left_anti")))
-        return replace(self, df=df, indexes=moved)
+        return replace(self, df=df, indexes=moved, change=change)
 
     # Writes: batches of any size, each one step.
     def fold(self, batch: DataFrame, sequence: str | None) -> DataFrame:
@@ -220,7 +221,7 @@ class Collection:
         new = self.fold(batch, sequence).select(*self.df.columns)
         df = self.df.join(new, list(self.key), "left_anti").unionByName(new)
         old = self.df.join(new, list(self.key), "left_semi") if self.indexes else self.df.limit(0)
-        return self._written(df, old, new)
+        return self._written(df, old, new, Change(self.df, come=new))
 
     def upsert(self, keys: DataFrame, modify: Callable[[Callable[[str], Column], Column], Values]) -> tuple[Collection, DataFrame]:
         """Rows of ``keys`` changed or made by ``modify(old, exists)``, and the new rows.
@@ -246,11 +247,11 @@ class Collection:
         """Rows without those of ``keys``, and the rows that went; missing keys are no error."""
         keys = keys.select(*self.key).distinct()
         gone = self.df.join(keys, list(self.key), "left_semi")
-        return self._written(self.df.join(keys, list(self.key), "left_anti"), gone, self.df.limit(0)), gone
+        return self._written(self.df.join(keys, list(self.key), "left_anti"), gone, self.df.limit(0), Change(self.df, gone=gone)), gone
 
     def clear(self) -> Collection:
         """No rows; attached indexes are emptied, whatever else filled them."""
-        return replace(self, df=self.df.limit(0), indexes={n: (how, how.cleared(i) if isinstance(how, Updater) else Index(i.df.limit(0))) for n, (how, i) in self.indexes.items()})
+        return replace(self, df=self.df.limit(0), change=None, indexes={n: (how, how.cleared(i) if isinstance(how, Updater) else Index(i.df.limit(0))) for n, (how, i) in self.indexes.items()})
 
     # Queries.
     def query(self):  # noqa: ANN201

@@ -10,6 +10,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+@dataclass(frozen=True)
+class Change:
+    """How a write got from ``before`` to its result: the rows whose keys went, and the rows that came or were replaced.
+
+    No key is in both, or twice in ``come``.  A store writes this instead of
+    the result.
+    """
+
+    before: DataFrame
+    gone: DataFrame | None = None
+    come: DataFrame | None = None
+
+
 @dataclass(frozen=True)
 class Derived:
     """How index pairs follow from a row: an array of keys, or an array of structs (ik, tk).  Null gives no pair."""
@@ -56,6 +69,7 @@ class Index:
     """``df`` has the columns (ik, tk), each pair once."""
 
     df: DataFrame
+    change: Change | None = None
 
     @staticmethod
     def of(df: DataFrame, ik: str = "ik", tk: str = "tk") -> Index:
@@ -74,16 +88,17 @@ class Index:
     # Writes.
     def index(self, pairs: DataFrame) -> Index:
         """Add pairs; those that are there already change nothing."""
-        return Index(self.df.unionByName(pairs.select("ik", "tk")).distinct())
+        pairs = pairs.select("ik", "tk").distinct()
+        return Index(self.df.unionByName(pairs).distinct(), Change(self.df, come=pairs))
 
     def unindex(self, pairs: DataFrame) -> tuple[Index, DataFrame]:
         """Without ``pairs``, and those of them that were there."""
         there = self.df.join(pairs.select("ik", "tk").distinct(), ["ik", "tk"], "left_semi")
-        return Index(self.df.join(pairs.select("ik", "tk"), ["ik", "tk"], "left_anti")), there
+        return Index(self.df.join(pairs.select("ik", "tk"), ["ik", "tk"], "left_anti"), Change(self.df, gone=there)), there
 
     def apply(self, gone: DataFrame, come: DataFrame) -> Index:
-        """One step of upkeep: pairs are a set, so a pair that goes is gone whoever else implied it."""
-        return Index(self.df.join(gone, ["ik", "tk"], "left_anti").unionByName(come).distinct())
+        """One step of upkeep: pairs are a set, so a pair that goes is gone whoever else implied it; none goes and comes."""
+        return Index(self.df.join(gone, ["ik", "tk"], "left_anti").unionByName(come).distinct(), Change(self.df, gone, come))
 
     def clear(self) -> Index:
         return Index(self.df.limit(0))

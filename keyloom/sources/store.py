@@ -1,10 +1,14 @@
 """A store: named collections and indexes in Parquet snapshots, under manifests that commit all of them at once.
 
 ``root/data/<name>/<id>/`` holds the snapshots and ``root/_manifest/<n>.json``
-names, for every object, its kind, key, schema, snapshot and row count.  A
-commit writes new snapshots and then creates manifest n + 1 exclusively; a
-reader keeps to the manifest it opened.  Files go through Hadoop's file system,
-so a store may lie wherever Spark reads and writes.
+names, for every object, its kind, key, schema, snapshot, deltas and row count.
+A write adds a delta: the rows that came, and the keys of those that went.
+Reads put the latest row of a key in the deltas before the snapshot's.  Deltas
+are folded into one once there are ``DELTAS`` of them, and into a new snapshot
+once they have a quarter of its rows.  A commit writes its files and then
+creates manifest n + 1 exclusively; a reader keeps to the manifest it opened.
+Files go through Hadoop's file system, so a store may lie wherever Spark reads
+and writes.
 """
 
 from __future__ import annotations
@@ -25,7 +29,12 @@ from pyspark.sql import types as T
 
 from keyloom import errors as E
 from keyloom.operators.collection import Collection
-from keyloom.operators.index import Derived, Index, Updater
+from keyloom.operators.index import Change, Derived, Index, Updater
+
+#: Deltas that a reader merges at most, and how many times their rows a snapshot has at least.
+DELTAS, SHARE = 8, 4
+#: Columns of a delta beside the object's own: whether the key went, and whether it was there.
+GONE, HAD = "_keyloom_gone", "_keyloom_had"
 
 _writing = threading.local()
 #: One lock for each store that this process writes to: a local disk's check for a file and its making are two steps.
@@ -234,14 +243,14 @@ class Store:
                 time.sleep(0.05)
 
     def vacuum(self, keep: int = 10) -> int:
-        """Delete the snapshots that none of the last ``keep`` commits names, and older manifests; how many went.
+        """Delete the snapshots and deltas that none of the last ``keep`` commits names, and older manifests; how many went.
 
         A reader that is pinned to one of those commits still finds its files.
         """
         with self.read_write():
             folder, gone = f"{self.path}/_manifest", 0
             versions = sorted(int(n[:-5]) for n in self.files.names(folder) if n.endswith(".json"))
-            named = {o["snapshot"] for v in versions[-max(1, keep) :] for o in self.manifest(v).values()}
+            named = {f for v in versions[-max(1, keep) :] for o in self.manifest(v).values() for f in (o["snapshot"], *o.get("deltas", ()))}
             for v in versions[: -max(1, keep)]:
                 for suffix in ("json", "json.claim"):
                     self.files.delete(f"{folder}/{v:012d}.{suffix}")
@@ -355,7 +364,26 @@ class ReadTxn:
         schema = T.StructType.fromJson(entry["schema"])
         if not entry["snapshot"]:
             return self.store.spark.createDataFrame([], schema)
-        return self.store.spark.read.schema(schema).parquet(f"{self.store.path}/{entry['snapshot']}")
+        base = self.store.spark.read.schema(schema).parquet(f"{self.store.path}/{entry['snapshot']}")
+        if not entry.get("deltas"):
+            return base
+        changes = self._changes(entry)
+        came = changes.where(~F.col(GONE))
+        return base.join(changes.select(*entry["key"]), entry["key"], "left_anti").select(*schema.names).unionByName(came.select(*schema.names))
+
+    def _changes(self, entry: dict) -> DataFrame:
+        """The deltas as one: the latest row of every key in them."""
+        schema = T.StructType.fromJson(entry["schema"])
+        marked = T.StructType([*schema.fields, T.StructField(GONE, T.BooleanType())])
+        each = [self.store.spark.read.schema(marked).parquet(f"{self.store.path}/{d}") for d in entry["deltas"]]
+        if len(each) == 1:
+            return each[0]
+        both = each[0].withColumn("_keyloom_nth", F.lit(0))
+        for i, d in enumerate(each[1:], 1):
+            both = both.unionByName(d.withColumn("_keyloom_nth", F.lit(i)))
+        rest = [c for c in marked.names if c not in entry["key"]]
+        last = both.groupBy(*entry["key"]).agg(F.max_by(F.struct(*rest), F.col("_keyloom_nth")).alias("_keyloom_row"))
+        return last.select(*entry["key"], "_keyloom_row.*")
 
     def collection(self, name: str) -> Collection:
         df = self._df(name, "collection")
@@ -375,7 +403,7 @@ class ReadTxn:
 
 
 class WriteTxn(ReadTxn):
-    """Reads see its own writes.  Every write becomes a snapshot at once, so that lineage does not grow; commit only names them."""
+    """Reads see its own writes.  Every write becomes files at once, so that lineage does not grow; commit only names them."""
 
     def __init__(self, store: Store, version: int) -> None:
         super().__init__(store, version)
@@ -397,15 +425,68 @@ class WriteTxn(ReadTxn):
         df.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(full)
         self.made.append(full)
         rows = self.store.spark.read.schema(schema).parquet(full).count()
-        self.objects[name] = entry | {"snapshot": where, "rows": rows}
+        self.objects[name] = entry | {"snapshot": where, "rows": rows, "deltas": [], "base": rows, "changed": 0}
+
+    def _add(self, name: str, change: Change) -> None:
+        """Write a delta, and fold deltas where there are many or they are large."""
+        entry, spark = self.objects[name], self.store.spark
+        schema, key = T.StructType.fromJson(entry["schema"]), entry["key"]
+        rows = None
+        for df, went in ((change.come, False), (change.gone, True)):
+            if df is not None:
+                part = df.select(*[F.col(f.name).cast(f.dataType) if f.name in key or not went else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields], F.lit(went).alias(GONE))
+                rows = part if rows is None else rows.unionByName(part)
+        there = change.before.select(*key, F.lit(True).alias(HAD))
+        rows = rows.join(there, key, "left").withColumn(HAD, F.coalesce(HAD, F.lit(False)))
+        # What was not there cannot go, and a row of nothing but its key cannot change.
+        rows = rows.where(F.col(HAD) | ~F.col(GONE))
+        if len(key) == len(schema.fields):
+            rows = rows.where(F.col(GONE) | ~F.col(HAD))
+        where = self._delta(name, rows.select(*schema.names, GONE, HAD), key)
+        made = spark.read.parquet(f"{self.store.path}/{where}")
+        n = made.agg(F.count("*").alias("all"), F.count_if(F.col(GONE)).alias("went"), F.count_if(~F.col(GONE) & ~F.col(HAD)).alias("came")).first()
+        if not n["all"]:
+            self._unmake(where)
+            return
+        entry |= {"deltas": [*entry.get("deltas", ()), where], "rows": entry["rows"] + n.came - n.went, "changed": entry.get("changed", 0) + n["all"]}
+        self.objects[name] = entry
+        if entry["changed"] * SHARE > entry.get("base", entry["rows"]):
+            self._put(name, self._df(name, entry["kind"]), key)
+            self._unmake(where)
+        elif len(entry["deltas"]) >= DELTAS:
+            folded = self._delta(name, self._changes(entry), key)
+            changed = spark.read.parquet(f"{self.store.path}/{folded}").count()
+            self.objects[name] = entry | {"deltas": [folded], "changed": changed}
+            self._unmake(where)
+
+    def _delta(self, name: str, rows: DataFrame, key: list[str]) -> str:
+        where = f"data/{name}/{uuid.uuid4().hex}"
+        self.made.append(f"{self.store.path}/{where}")
+        rows.sortWithinPartitions(*key).write.parquet(f"{self.store.path}/{where}")
+        return where
+
+    def _unmake(self, where: str) -> None:
+        """Delete a delta of this write that no commit and no earlier read names."""
+        self.store.files.delete(f"{self.store.path}/{where}")
+        self.made.remove(f"{self.store.path}/{where}")
 
-    def put_collection(self, name: str, c: Collection) -> None:
+    def _change(self, name: str, after: Collection | Index, before: Collection | Index, key: list[str]) -> None:
+        if after.df is before.df:
+            return
+        change = after.change
+        if change is not None and change.before is before.df and self.objects[name]["snapshot"] and self.objects[name]["rows"]:
+            self._add(name, change)
+        else:
+            self._put(name, after.df, key)
+
+    def put_collection(self, name: str, c: Collection, before: Collection) -> None:
+        """``c`` in place of ``before``: the difference if one write made it, else all of it."""
         self._entry(name, "collection")
-        self._put(name, c.df, list(c.key))
+        self._change(name, c, before, list(c.key))
 
-    def put_index(self, name: str, i: Index) -> None:
+    def put_index(self, name: str, i: Index, before: Index) -> None:
         self._entry(name, "index")
-        self._put(name, i.df, ["ik", "tk"])
+        self._change(name, i, before, ["ik", "tk"])
 
     def lift(self, handle: StoredCollection | StoredIndex) -> StoredCollection | StoredIndex:
         """The handle bound to this transaction; several may share it."""
@@ -534,9 +615,9 @@ class StoredCollection:
         c = txn.collection(self.name)
         c = replace(c, indexes={n: (how, txn.index(n)) for n, how in self.indexes})
         after, result = change(txn, c)
-        txn.put_collection(self.name, after)
+        txn.put_collection(self.name, after, c)
         for n in after.indexes:
-            txn.put_index(n, after.index(n))
+            txn.put_index(n, after.index(n), c.index(n))
         return result(txn) if callable(result) else result
 
     def _result(self, given: Any, df: DataFrame) -> Any:
@@ -644,8 +725,9 @@ class StoredIndex:
 
     def _write(self, change: Callable[[Index], tuple[Index, DataFrame | None]]) -> DataFrame | None:
         def apply(txn: WriteTxn) -> DataFrame | None:
-            after, result = change(txn.index(self.name))
-            txn.put_index(self.name, after)
+            before = txn.index(self.name)
+            after, result = change(before)
+            txn.put_index(self.name, after, before)
             return result
 
         if isinstance(self.txn, WriteTxn):
