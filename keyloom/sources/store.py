@@ -5,7 +5,8 @@ names, for every object, its kind, key, schema, snapshot, deltas and row count.
 A write adds a delta: the rows that came, and the keys of those that went.
 Reads put the latest row of a key in the deltas before the snapshot's.  Deltas
 are folded into one once there are ``DELTAS`` of them, and into a new snapshot
-once they have a quarter of its rows.  A commit writes its files and then
+once they have a quarter of its rows; objects of at most ``SMALL`` rows are
+rewritten at once, which is quicker than merging.  A commit writes its files and then
 creates manifest n + 1 exclusively; a reader keeps to the manifest it opened.
 Files go through Hadoop's file system, so a store may lie wherever Spark reads
 and writes.
@@ -33,6 +34,8 @@ from keyloom.operators.index import Change, Derived, Index, Updater
 
 #: Deltas that a reader merges at most, and how many times their rows a snapshot has at least.
 DELTAS, SHARE = 8, 4
+#: Rows that are rewritten rather than given a delta.
+SMALL = 10_000
 #: Columns of a delta beside the object's own: whether the key went, and whether it was there.
 GONE, HAD = "_keyloom_gone", "_keyloom_had"
 
@@ -474,7 +477,7 @@ class WriteTxn(ReadTxn):
         if after.df is before.df:
             return
         change = after.change
-        if change is not None and change.before is before.df and self.objects[name]["snapshot"] and self.objects[name]["rows"]:
+        if change is not None and change.before is before.df and self.objects[name]["snapshot"] and self.objects[name]["rows"] > SMALL:
             self._add(name, change)
         else:
             self._put(name, after.df, key)

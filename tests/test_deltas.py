@@ -10,6 +10,11 @@ from keyloom.sources import store as S
 from keyloom.sources.store import Store
 
 
+@pytest.fixture(autouse=True)
+def deltas_for_any_rows(monkeypatch):
+    monkeypatch.setattr(S, "SMALL", 0)
+
+
 def test_small_writes_write_little(spark, sf, tmp_path):
     orders = spark.read.parquet(f"{sf}/orders.parquet")
     store = Store.open(spark, f"file://{tmp_path}", "little")
@@ -28,10 +33,9 @@ def test_small_writes_write_little(spark, sf, tmp_path):
     assert len(store.manifest(store.version())["orders"]["deltas"]) == 1
 
 
-@pytest.mark.parametrize("deltas", [2, 8])
-def test_any_sequence_of_writes(spark, tmp_path, monkeypatch, deltas):
-    monkeypatch.setattr(S, "DELTAS", deltas)
-    rng = random.Random(deltas)
+def test_any_sequence_of_writes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "DELTAS", deltas := 3)
+    rng = random.Random(1)
     store = Store.open(spark, f"file://{tmp_path}", "random")
     i = store.index_create("by_v", "int", "int")
     c = store.collection_create("c", "k", "k int, v int").with_index("by_v", F.array("v"))
