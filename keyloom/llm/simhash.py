@@ -56,6 +56,9 @@ def near_fingerprints(fps: DataFrame, segment_bits: int = 32) -> DataFrame:
     the join itself verifies the whole fingerprints.  A pair counts under one
     variant only: the first segment if that one differs by a bit at most, else
     the second; the bit that differs, or the first bit if none does.
+
+    The join asks to be a merge: Spark takes 64 variants to be no larger than the
+    fingerprint they come from and would send them all through the driver.
     """
     full = (1 << segment_bits) - 1
     segment = F.when(F.col("s") == 0, F.col("fp")).otherwise(F.shiftrightunsigned("fp", segment_bits)).bitwiseAND(F.lit(full))
@@ -74,7 +77,7 @@ def near_fingerprints(fps: DataFrame, segment_bits: int = 32) -> DataFrame:
     once = F.when(here == 0, i == 0).otherwise(here == F.call_function("shiftleft", F.lit(1).cast("long"), i))
     first = (s == 0) | (F.bit_count(low) > 1)
     match = (F.col("x.variant") == F.col("y.variant")) & (F.col("x.fp") < F.col("y.fp")) & (F.bit_count(apart) <= 2) & once & first
-    return x.join(y, match).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+    return x.hint("merge").join(y.hint("merge"), match).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,7 +6,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from keyloom.llm import simhash
-from keyloom.llm.common import components
+from keyloom.llm.common import Scratch, components
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -53,6 +53,14 @@ def test_links_of_fingerprints(spark):
     assert len(pairs) == len(set(pairs)) and set(pairs) == want and want
 
 
+def test_variants_stay_off_the_driver(spark):
+    fps = Scratch(spark.range(5000).select(F.xxhash64("id").alias("fp"))).df  # a file of 40 KB, but 320,000 variants
+    got = simhash.near_fingerprints(fps)
+    assert got.collect() == []
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components(spark):
     rng = random.Random(3)
     links = [(i, i + 1) for i in range(0, 40)] + [(rng.randrange(100, 300), rng.randrange(100, 300)) for _ in range(120)] + [(5, 5)]
