@@ -4,7 +4,9 @@
 2. ``line_dedup``: lines that an earlier line equals or nearly equals go from
    their texts; every document stays, though it may end up empty.
 3. ``near_dedup``: of documents that links of a similarity of 0.8 or more of
-   their five-word shingles connect, one stays.
+   their five-word shingles connect, one stays.  Candidates come from the
+   deletion variants of the shingles' SimHash, as in op1, and for links that 64
+   bits do not show from bands of minima; all are verified on the whole texts.
 4. ``mixing``: each source's documents are taken zero, one or two times, so
    that its words come near its target.
 5. ``packing``: the token ids of all that is left, packed into sequences.

@@ -1,4 +1,4 @@
-"""Near copies by the Jaccard similarity of their word shingles; the pipeline's stage."""
+"""Near copies by SimHash, held to the Jaccard similarity of their word shingles; the pipeline's stage."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keyloom.llm import simhash
 from keyloom.llm.common import Scratch, components, numbered
 from keyloom.llm.tokens import blocks
 
@@ -43,6 +44,11 @@ def shingles(text: bytes | None, words: int = 5) -> np.ndarray:
     return np.unique(_mixed(h))
 
 
+def fingerprint(h: np.ndarray, part: int = 1 << 15) -> int:
+    """64-bit SimHash of the shingles."""
+    return simhash.majority(sum(simhash.ones(h[at : at + part]) for at in range(0, len(h), part)), len(h))
+
+
 def bands(h: np.ndarray, part: int = 1024) -> np.ndarray:
     """A hash for each band of minima of the shingles under different orders."""
     low = np.full(BANDS * ROWS, np.uint64(0xFFFFFFFFFFFFFFFF))
@@ -55,24 +61,26 @@ def bands(h: np.ndarray, part: int = 1024) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, words: int, key: str, text_col: str) -> DataFrame:
-    """(key, node, n, bands): node is the same for texts of the same words, n the number of shingles."""
+    """(key, node, n, fp, bands): node is the same for texts of the same words, n the number of shingles, fp their SimHash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest as whole_hash
 
         for whole in batches:
             for batch in blocks(whole, 1):
-                node, n, found = [], [], []
+                node, n, fp, found = [], [], [], []
                 for x in batch.column(1):
                     text = x.as_py() or b""
                     h = shingles(text, words)
                     node.append(whole_hash(b" ".join(text.lower().split())))
                     n.append(len(h))
+                    fp.append(fingerprint(h) if len(h) else 0)
                     found.append(bands(h).view("<i8") if len(h) else [])
-                yield pa.record_batch([batch.column(0), pa.array(np.array(node, "<u8").view("<i8")), pa.array(n, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["key", "node", "n", "bands"])
+                longs = [pa.array(np.array(x, "<u8").view("<i8")) for x in (node, n, fp)]
+                yield pa.record_batch([batch.column(0), *longs, pa.array(found, pa.list_(pa.int64()))], names=["key", "node", "n", "fp", "bands"])
 
     rows = docs.select(F.col(key).alias("key"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "key long, node long, n long, bands array<long>")
+    return rows.mapInArrow(run, "key long, node long, n long, fp long, bands array<long>")
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -114,13 +122,18 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "
     """The documents with one of each component left; links are pairs of a similarity of ``percent`` or more.
 
     Similarity is the Jaccard similarity of the sets of ``words``-word
-    shingles.  Candidates share one of 25 bands of five minima; every
-    candidate is verified on the whole texts.  The row with the smallest id
+    shingles.  Candidates are texts that share a deletion variant of their
+    shingles' SimHash, so all whose fingerprints differ by two bits or fewer and
+    all that are alike but for a bit in either half.  A pair at 0.8 differs by
+    ten bits of 64 on average; for such there are 25 bands of five minima
+    besides, and texts that share one are candidates too.  Every candidate is
+    verified on the whole texts.  The row with the smallest id
     stays, rows without an id behind the others, then by an own row number, so
     null and repeated ids are documents like any other.  Texts without words
     are copies of each other.
 
-    Copies are one node from the start.  In each of three rounds a band's nodes
+    Copies are one node from the start, and variants and bands that the same
+    nodes have are one band.  In each of three rounds a band's nodes
     that are still in different components meet one of them, which settles
     large groups at a pair a node; in the first round that is the one that
     shares most bands with others.  Then all nodes that share a band and are
@@ -134,15 +147,20 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "
     docs = numbered(docs, at_id, "key", nulls_last=True)
     rows = Scratch(_signatures(docs, words, "key", at_text))
     nodes = Scratch(rows.df.groupBy("node").agg(F.min("key").alias("key")))
-    single = rows.df.join(nodes.df.select("key"), "key", "left_semi")
-    every = single.select("key", "node", "n", F.explode("bands").alias("band"))
-    shared = Scratch(every.groupBy("band").agg(F.count("*").alias("k")).where("k > 1"))
-    every = Scratch(every.join(shared.df, "band"))
+    single = Scratch(rows.df.join(nodes.df.select("key"), "key", "left_semi").where("n > 0"))
+    rows.drop()
+    text = ("key", "node", "n")
+    near = simhash.variants(single.df.select(*text, "fp")).select(*text, F.xxhash64(F.lit("simhash"), "variant").alias("band"))
+    every = single.df.select(*text, F.explode("bands").alias("band")).unionByName(near)
+    shared = every.groupBy("band").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("node")).alias("all"), F.min("node").alias("low"), F.max("node").alias("high")).where("k > 1")
+    shared = Scratch(shared.groupBy("k", "all", "low", "high").agg(F.min("band").alias("band"), F.count("*").alias("times")).select("band", (F.col("k") * F.col("times")).alias("k")))
+    # A merge, since Spark takes the rows of 64 variants for no more than the one they come from and may broadcast them.
+    every = Scratch(every.hint("merge").join(shared.df, "band"))
+    single.drop()
     # Of copies with an edit each, the one that they were made from shares the most.
     weight = Scratch(every.df.groupBy("node").agg(F.sum("k").alias("weight")))
     every, old = Scratch(every.df.drop("k").join(weight.df, "node")), every
     old.drop()
-    rows.drop()
     wanted = every.df.select("key", "node").distinct()
     texts = Scratch(docs.select("key", F.col(at_text).cast("binary").alias("text")).join(wanted, "key").select("node", "text"))
     links, roots, seen = None, None, None

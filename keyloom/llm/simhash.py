@@ -13,6 +13,16 @@ from keyloom.llm.common import Scratch, components, documents, numbered
 from keyloom.llm.tokens import blocks
 
 
+def ones(h: np.ndarray) -> np.ndarray:
+    """How many of these 64-bit hashes ("<u8") have each bit."""
+    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(counts: np.ndarray, n: int) -> int:
+    """The fingerprint: the bits that over half of n hashes have."""
+    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: bytes | None, words: int = 3, seed: int = 42, part: int = 1 << 15) -> int:
     """64-bit SimHash of a UTF-8 text's word shingles, A-Z lower-cased; 0 without words."""
     from xxhash import xxh64_intdigest as xxh
@@ -25,13 +35,13 @@ def fingerprint(text: bytes | None, words: int = 3, seed: int = 42, part: int =
         return xxh(joined, seed)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    ones = np.zeros(64, np.int64)
+    counts = np.zeros(64, np.int64)
     for at in range(0, n, part):
         # The shingles of a part, cut out of the joined words.
         bounds = zip(starts[at : min(n, at + part)].tolist(), ends[at + words - 1 : at + part + words - 1].tolist())
         h = np.array([xxh(joined[a:b], seed) for a, b in bounds], "<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+        counts += ones(h)
+    return majority(counts, n)
 
 
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -47,6 +57,21 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
     return rows.mapInArrow(run, "id long, fp long")
 
 
+def variants(fps: DataFrame, segment_bits: int = 32) -> DataFrame:
+    """Each row once for every bit of its ``fp``; ``variant`` has the bit's segment without that bit, and above it which bit that is.
+
+    Rows share a variant if a segment of theirs differs by a bit at most.
+    """
+    full = (1 << segment_bits) - 1
+    names = fps.columns
+    v = fps.select(*names, F.explode(F.sequence(F.lit(0), F.lit(2 * segment_bits - 1))).alias("k"))
+    v = v.select(*names, "k", F.expr(f"k div {segment_bits}").cast("int").alias("s"), (F.col("k") % segment_bits).alias("i"))
+    segment = F.when(F.col("s") == 0, F.col("fp")).otherwise(F.shiftrightunsigned("fp", segment_bits)).bitwiseAND(F.lit(full))
+    hole = segment.bitwiseAND(F.bitwise_not(F.expr("shiftleft(1L, i)")))
+    tag = F.shiftleft(F.col("k").cast("long"), segment_bits)
+    return v.select(*names, hole.bitwiseOR(tag).alias("variant"))
+
+
 def near_fingerprints(fps: DataFrame, segment_bits: int = 32) -> DataFrame:
     """Pairs (a, b), a < b, of the distinct fingerprints ``fp`` that differ in one or two bits, each pair once.
 
@@ -61,13 +86,8 @@ def near_fingerprints(fps: DataFrame, segment_bits: int = 32) -> DataFrame:
     fingerprint they come from and would send them all through the driver.
     """
     full = (1 << segment_bits) - 1
-    segment = F.when(F.col("s") == 0, F.col("fp")).otherwise(F.shiftrightunsigned("fp", segment_bits)).bitwiseAND(F.lit(full))
-    hole = segment.bitwiseAND(F.bitwise_not(F.expr("shiftleft(1L, i)")))
-    tag = F.shiftleft(F.col("k").cast("long"), segment_bits)
-    v = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(2 * segment_bits - 1))).alias("k"))
-    v = v.select("fp", "k", F.expr(f"k div {segment_bits}").cast("int").alias("s"), (F.col("k") % segment_bits).alias("i"))
     # Both sides have the same columns, so that one shuffle serves them; the variant's upper half tells segment and bit.
-    v = v.select("fp", hole.bitwiseOR(tag).alias("variant"))
+    v = variants(fps.select("fp"), segment_bits)
     x, y = v.alias("x"), v.alias("y")
     k = F.shiftright("x.variant", segment_bits)
     s, i = F.floor(k / segment_bits), (k % segment_bits).cast("int")

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline as pipeline
 from keyloom.llm import shingles
 
@@ -37,6 +39,25 @@ def test_edited_copies_at_similarity_08(spark, docs, sf):
     assert got == {i for i in range(n) if i not in of} - {n - 3, n - 1}
 
 
+def test_simhash_finds_pairs(spark, docs, sf):
+    # Similar by 8 of 10 shingles, in no band together, but alike in half a fingerprint save a bit.
+    a = "w3414 w2286 w2582 w443 w1484 w710 w3104 w2819 w3776 w1419 w1419 w781 "
+    b = "w1226 w2774 w2714 w1851 w2141 w1855 w2059 w3429 w2281 w1980 w3847 w3315 "
+    texts = [a + "w415", a + "w1944", b + "w82", b + "w3531"]
+    for x, y in (texts[:2], texts[2:]):
+        hx, hy = (shingles.shingles(t.encode()) for t in (x, y))
+        apart = shingles.fingerprint(hx) ^ shingles.fingerprint(hy)
+        assert not (shingles.bands(hx) == shingles.bands(hy)).any() and min((apart >> 32).bit_count(), (apart & (1 << 32) - 1).bit_count()) < 2
+    assert sorted(r.doc_id for r in pipeline.drop_near_copies(spark, docs(texts), sf).collect()) == [0, 2]
+
+
+def test_fingerprints():
+    rng = random.Random(23)
+    for n in (1, 2, 9, 700):
+        h = np.array([rng.getrandbits(64) for _ in range(n)], "<u8")
+        assert shingles.fingerprint(h, part=64) == sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in h) > n)
+
+
 def test_against_brute_force(docs):
     rng = random.Random(22)
     base = [f"w{i}" for i in range(120)]
