@@ -131,12 +131,23 @@ def _axis(value: Column, low: float, span: float) -> Column:
     return ((value - F.lit(low)) / F.lit(span) * F.lit(_SCALE)).cast("bigint")
 
 
+def _spread(v: Column) -> Column:
+    """The low 32 bits of a bigint in the even places: its binary digits, read in base four."""
+    return F.conv(F.bin(v.bitwiseAND(F.lit((1 << 32) - 1))), 4, 10).cast("bigint")
+
+
+def _gather(code: Column) -> Column:
+    """The bits in the even places of a bigint, side by side."""
+    return F.conv(F.conv(F.hex(code.bitwiseAND(F.lit(0x5555555555555555))), 16, 4), 2, 10).cast("bigint")
+
+
 def location_code(lat: Column, lon: Column) -> Column:
-    """Z-order code of a point as a bigint; compare it as bytes or unsigned."""
+    """Z-order code of a point as a bigint; compare it as bytes or unsigned.
+
+    Each axis stands in the expression once: a fold over the bits would evaluate it anew for every bit.
+    """
     y, x = _axis(lat, -90.0, 180.0), _axis(lon, -180.0, 360.0)
-    bit = lambda v, i: F.shiftrightunsigned(v, 0).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), i))
-    place = lambda acc, i: acc.bitwiseOR(F.call_function("shiftleft", bit(x, i), i)).bitwiseOR(F.call_function("shiftleft", bit(y, i), i + 1))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(31)), F.lit(0).cast("bigint"), place)
+    return _spread(x).bitwiseOR(F.shiftleft(_spread(y), 1))
 
 
 def location_bytes(lat: Column, lon: Column) -> Column:
@@ -146,15 +157,8 @@ def location_bytes(lat: Column, lon: Column) -> Column:
 def bytes_location(b: Column) -> Column:
     """struct(lat, lon), off by less than a ten-millionth of a degree."""
     code = unhex_long(F.hex(F.substring(b, 1, 8)))
-
-    def gather(shift: int) -> Column:
-        pick = lambda acc, i: acc.bitwiseOR(
-            F.call_function("shiftleft", F.call_function("shiftrightunsigned", code, i * 2 + shift).bitwiseAND(F.lit(1).cast("bigint")), i)
-        )
-        return F.aggregate(F.sequence(F.lit(0), F.lit(31)), F.lit(0).cast("bigint"), pick)
-
-    lat = gather(1).cast("double") / F.lit(_SCALE) * F.lit(180.0) - F.lit(90.0)
-    lon = gather(0).cast("double") / F.lit(_SCALE) * F.lit(360.0) - F.lit(180.0)
+    lat = _gather(F.shiftrightunsigned(code, 1)).cast("double") / F.lit(_SCALE) * F.lit(180.0) - F.lit(90.0)
+    lon = _gather(code).cast("double") / F.lit(_SCALE) * F.lit(360.0) - F.lit(180.0)
     return F.struct(lat.alias("lat"), lon.alias("lon"))
 
 

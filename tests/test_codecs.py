@@ -84,6 +84,29 @@ def test_locations(spark):
         assert bytes(r.cell) == bytes(r.b[:4]) + bytes(4)
 
 
+def test_locations_beyond_the_axes_and_null(spark):
+    points = [(-91.0, 181.0), (1e6, -1e6), (-0.0, 1e-12), (89.99999999, 179.99999999)] + [(rng.uniform(-400, 400), rng.uniform(-400, 400)) for _ in range(200)]
+    for r in frame(spark, points, "lat double, lon double").withColumn("b", K.location_bytes(F.col("lat"), F.col("lon"))).collect():
+        assert int.from_bytes(r.b, "big") == morton(r.lat, r.lon)
+    nulls = frame(spark, [(None, 1.0), (1.0, None)], "lat double, lon double").withColumn("b", K.location_bytes(F.col("lat"), F.col("lon")))
+    assert [r.b for r in nulls.collect()] == [None, None]
+    codes = [0, (1 << 64) - 1, 1 << 63, 1, 2] + [rng.getrandbits(64) for _ in range(200)]
+    for r in frame(spark, [(c.to_bytes(8, "big"),) for c in codes], "b binary").withColumn("p", K.bytes_location(F.col("b"))).collect():
+        n = int.from_bytes(r.b, "big")
+        y, x = (sum((n >> 2 * i + odd & 1) << i for i in range(32)) for odd in (1, 0))
+        assert (r.p.lat, r.p.lon) == (y / 4294967295 * 180 - 90, x / 4294967295 * 360 - 180)
+
+
+def test_location_is_not_evaluated_bit_by_bit(spark):
+    """A fold over 32 bits that holds the code in its body encodes every point anew for each of them."""
+    df = spark.range(1).select(F.rand().alias("lat"), F.rand().alias("lon"))
+    coded = df.select(K.location_bytes(F.col("lat"), F.col("lon")).alias("b"))
+    for plan in (coded, coded.select(K.bytes_location(F.col("b")).alias("p")), coded.groupBy(K.location_cell(F.col("b"), 2)).count()):
+        text = plan._jdf.queryExecution().optimizedPlan().toString()
+        assert "lambda" not in text and "aggregate(" not in text
+        assert text.count("conv(") <= 10
+
+
 def test_instants(spark):
     secs = [-(1 << 62), -1, 0, 0, 1, 1_700_000_000, 1 << 62]
     rows = [(s, n) for s, n in zip(secs, [0, 999_999_999, 0, 1, 5, 123_456_789, 0])]
